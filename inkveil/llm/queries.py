@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, flac, kdshard, licenses, mix, quality, secrets
+from . import bpe, dartminhash, flac, kdshard, licenses, mix, quality, secrets
 from .common import read
 
 
@@ -32,6 +32,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op8_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_kdshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.shard(read(spark, sf_dir, "documents"), shards=8)
 
@@ -41,7 +45,7 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secrets, op4_mix, op5_quality, op6_bpe, op7_licenses, op9_kdshard, op10_flac)}
+    return {f.__name__: f for f in (op3_secrets, op4_mix, op5_quality, op6_bpe, op7_licenses, op8_dartminhash, op9_kdshard, op10_flac)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, dartminhash, flac, kdshard, licenses, mix, quality, secrets
+from . import bpe, dartminhash, flac, html_extract, kdshard, langid, licenses, mix, quality, secrets
 from .common import read
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.pages_text(read(spark, sf_dir, "pages"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn(docs))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -44,8 +53,14 @@ def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.store(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secrets, op4_mix, op5_quality, op6_bpe, op7_licenses, op8_dartminhash, op9_kdshard, op10_flac)}
+    return {f.__name__: f for f in (op1_html, op2_langid, op3_secrets, op4_mix, op5_quality, op6_bpe, op7_licenses, op8_dartminhash, op9_kdshard, op10_flac, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,9 +9,12 @@ that K ln K + 2K darts are expected however long the text is.  Two texts keep th
 dart in a coordinate with the probability of their weighted Jaccard similarity.
 
 Equal texts are one node.  Nodes that share a band are compared exactly (Jaccard >= 0.8),
-first with their band's smallest member, then, in bands whose members are still in several
-classes, with 8, 32, 128 ... further members, until every pair of different classes in
-every band has been compared or joined.  Pairs inside a class are never emitted.
+first with their band's smallest member.  In bands whose members are still in several
+classes, shingles that one member alone has bound what it can share with any other: members
+and pairs that the bound rules out go without being compared.  The others meet where they
+share one of their rarest shingles, as similar texts must: 8, 32, 128 ... of a shingle's
+members at a time, until every pair of different classes has been compared, ruled out or
+joined.  Pairs inside a class are never emitted.
 
 Null texts are never linked; texts without a word are linked only to equal texts; texts of
 one to four words are one shingle; repeated rows share a class; an empty table gives an
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import cut, map_rows
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: What two texts at SIMILARITY share, as a part of the sum of their sizes.
+SHARE = SIMILARITY / (1 + SIMILARITY)
 #: Coordinates of a signature, and how many make a band: a pair at 0.8 is missed once in 300,000.
 K, BAND = 96, 4
 #: Bytes of text that are worked on at a time.
@@ -202,8 +207,8 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for a, b in _groups(texts):
                 element, owner = shingles(texts[a:b])
                 ends = np.searchsorted(owner, np.arange(b - a + 1))
-                out += [np.unique(element[i:j]).tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            return {"nid": rows["nid"], "n": [len(x) // 8 for x in out], "shingles": out}
+                out += [np.unique(element[i:j]).view(np.int64) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            return {"nid": rows["nid"], "n": [len(x) for x in out], "shingles": out}
 
         return work
 
@@ -211,7 +216,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").withColumn("node", _node())
     wanted = nodes.select("nid", F.col("node").alias("want"), F.col("first_doc"))
     one = texts.join(_small(wanted, count), (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("nid", "text")
-    return cut(map_rows(one, ["nid", "text"], "nid long, n int, shingles binary", step))
+    return cut(map_rows(one, ["nid", "text"], "nid long, n int, shingles array<long>", step))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -221,7 +226,7 @@ def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
         def work(rows):
             a, b = [], []
             for x, y, left, right in zip(rows["a"], rows["b"], rows["left"], rows["right"], strict=True):
-                p, q = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
+                p, q = np.array(left, np.int64).view(np.uint64), np.array(right, np.int64).view(np.uint64)
                 at = np.searchsorted(q, p)
                 both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
                 if both >= SIMILARITY * (len(p) + len(q) - both) - 1e-9:
@@ -281,20 +286,22 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = wanted.select("nid", F.col("nid").alias("comp"))
     pairs = members.where("nid <> head").select(F.col("head").alias("a"), F.col("nid").alias("b")).dropDuplicates()
     labels = cut(_relabel(labels, _links(pairs, sets, sizes)))
-    low, high = 1, 9
-    open_ = _unsettled(members.select("bucket", "nid"), labels)
-    open_ = cut(open_.withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("nid"))))
+    low, high = 0, 8
+    open_ = _possible(cut(_unsettled(members.select("bucket", "nid"), labels)), sets, sizes)
+    open_ = cut(_unsettled(open_, labels).withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("nid"))))
     while open_.take(1):
-        leader = open_.where(F.col("rank").between(low + 1, high)).select("bucket", F.col("nid").alias("a"), F.col("comp").alias("ca"), F.col("rank").alias("ra"))
-        other = open_.select("bucket", F.col("nid").alias("b"), F.col("comp").alias("cb"), "rank")
-        pairs = leader.join(other, "bucket").where("rank > ra and ca <> cb").select("a", "b").dropDuplicates()
-        links = _links(pairs, sets, sizes)
+        leader = open_.where(F.col("rank").between(low + 1, high)).select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("nid", "comp", "rank", "n", "u")])
+        shared = F.least(F.col("n") - F.col("u"), F.col("n_a") - F.col("u_a"))
+        bound = (shared >= SHARE * (F.col("n") + F.col("n_a")) - 1e-9) & (shared * (1 - SIMILARITY) >= SIMILARITY * (F.col("u") + F.col("u_a")) - 1e-9)
+        other = open_.select("bucket", "nid", "comp", "rank", "n", "u")
+        met = leader.join(other, (leader["bucket"] == other["bucket"]) & (F.col("rank") > F.col("rank_a")) & (F.col("comp") != F.col("comp_a")) & bound)
+        links = _links(met.select(F.col("nid_a").alias("a"), F.col("nid").alias("b")).dropDuplicates(), sets, sizes)
         ends = labels.select(F.col("nid").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("nid").alias("b"), F.col("comp").alias("cb"))
         joined = links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         labels = cut(_relabel(labels, joined))
         low, high = high, 4 * high
         left = open_.groupBy("bucket").agg(F.max("rank").alias("last")).where(F.col("last") > low)
-        open_ = cut(_unsettled(open_.join(left, "bucket", "left_semi").select("bucket", "nid", "rank"), labels))
+        open_ = cut(_unsettled(open_.join(left, "bucket", "left_semi").drop("comp"), labels))
     comp = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("comp")
     linked = labels.join(comp, "comp", "left_semi")
     known = nodes.select("nid", "node", "first_doc", "copies").join(linked, "nid", "left").where("comp is not null or copies > 1")
@@ -304,6 +311,29 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "node"), cut(known)
 
 
+def _possible(members: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Where the members (bucket, nid) may still reach SIMILARITY: (bucket, nid, n, u) by shingle.
+
+    u counts the shingles that no other of the members has.  They are in no intersection, so
+    two members share at most n - u, and have to share SHARE of their sizes' sum; members
+    that can't are left out.  Of the others each takes its rarest shingles, one more than it
+    may lack in a partner: any two that reach SIMILARITY have one of these in common, so
+    these shingles take the place of the bands.
+    """
+    own = cut(sets.join(members.select("nid").dropDuplicates(), "nid", "left_semi").select("nid", F.explode("shingles").alias("s")))
+    alone = own.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("nid").alias("nid")).where("k = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("u"))
+    rows = members.select("bucket", "nid").join(sizes, "nid").join(alone, "nid", "left").withColumn("u", F.coalesce("u", F.lit(0)))
+    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
+    rows = rows.join(least, "bucket").groupBy("nid", "n", "u").agg(F.min("least").alias("least"))
+    needed = F.ceil(SHARE * (F.col("n") + F.greatest(F.col("least").cast("double"), SIMILARITY * F.col("n"))) - 1e-9)
+    rows = rows.withColumn("needed", needed).where(F.col("n") - F.col("u") >= F.col("needed"))
+    own = own.join(rows.select("nid", "n", "u", "needed"), "nid")
+    often = own.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
+    place = F.row_number().over(W.partitionBy("nid").orderBy("k", "s"))
+    first = own.join(often, "s").withColumn("place", place).where((F.col("place") <= F.col("n") - F.col("needed") + 1) & (F.col("k") > 1))
+    return cut(first.select(F.col("s").alias("bucket"), "nid", "n", "u"))
+
+
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members of buckets that hold several classes, with their classes."""
     both = members.join(labels, "nid")

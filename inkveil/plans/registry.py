@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.patterns import EMAIL, IPV4, SSN
+from .catalog import CATALOG, read
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a social security number, by language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit("[0-9]{3}-[0-9]{2}-[0-9]{4}"))).cast("long").alias("n"))
+    """Social security numbers, e-mail and IPv4 addresses in documents, by language."""
+    counts = [F.sum(F.regexp_count("text", F.lit(p))).cast("long").alias(n) for n, p in (("ssn", SSN), ("email", EMAIL), ("ipv4", IPV4))]
+    return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), *counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for name, (query, _) in CATALOG.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in CATALOG.items() if sql}

@@ -102,7 +102,7 @@ FORMS = {
 # The base phrases and labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Every rule's match holds one of these, so that other texts stop here.
-GATE = "licen[cs]|spdx|creativecommons|creative[^a-z0-9]+commons|cc0|cc[^a-z0-9]+by|public[^a-z0-9]*domain|gnu[^a-z0-9]|wtfpl|opensource|opendatacommons|apache|bsd|mozilla|eclipse|affero|eupl|libpng|boost|mariadb|no[^a-z0-9]+attribution|data[^a-z0-9]+commons|sil[^a-z0-9]+org"
+GATE = "licen|spdx|creativecommons|creative[^a-z0-9]+commons|cc0|cc[^a-z0-9]+by|public[^a-z0-9]*domain|gnu[^a-z0-9]|wtfpl|opensource|opendatacommons|apache|bsd|mozilla|eclipse|affero|eupl|libpng|boost|mariadb|no[^a-z0-9]+attribution|data[^a-z0-9]+commons|sil[^a-z0-9]+org"
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _APART = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

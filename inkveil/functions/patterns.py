@@ -37,7 +37,7 @@ POSTCODE = f"(?<![{_W}])(?:[A-Za-z][0-9]|[A-Za-z][A-Za-z][0-9]|[A-Za-z][0-9][A-Z
 HEALTH_CARD = f"(?<![{_W}])[0-9]{{4}}[ -]?[0-9]{{3}}[ -]?[0-9]{{3}}(?![{_W}])"
 PASSPORT = f"(?i)(?<![{_W}])((?:passport number|passport no|passport #|passport)[ :#]*)(?=[A-Za-z]*[0-9])[A-Za-z0-9]{{6,9}}(?![{_W}])"
 INTL_PHONE = "(?<![0-9])\\+(?=[ ()-]*(?:4[ ()-]*4|3[ ()-]*3|4[ ()-]*9|3[ ()-]*4|3[ ()-]*1|3[ ()-]*5[ ()-]*3))[ ()-]*(?:[0-9][ ()-]*){9,15}(?<! )(?![ ()-]*[0-9])"
-CARD = "(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+CARD = "(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}+(?![0-9])"
 DEA = f"(?<![{_A}])[A-Za-z]{{2}}[0-9]{{7}}(?![{_A}])"
 NPI = f"(?<![{_A}])[12][0-9]{{9}}(?![{_A}])"
 VIN = f"(?<![{_A}])[A-HJ-NPR-Za-hj-npr-z0-9]{{17}}(?![{_A}])"

@@ -105,7 +105,7 @@ _STATE = _rx(r",(?=[ ,\t]*([A-Za-z]{2})[ ,\t]+[0-9]{5}(?![0-9]))")
 _WORD_START = _rx(_START + r"[A-Za-z]")
 _AT = _rx(r"([A-Za-z0-9.+_-]+)@(?=([A-Za-z0-9.-]+))")
 _TLD = _rx(r"[A-Za-z]{2,}")
-_PHONE = _rx(r"(?<![0-9])(?=(\+?\(?[-. ()]*[0-9](?:[-. ()]*[0-9]){9,14})(?![0-9]))(?=[0-9(+])")
+_PHONE = _rx(r"(?<![0-9])(?=(\+?\(?[-. ()]*[0-9](?:[-. ()]*[0-9]){9,14}+)(?![0-9]))(?=[0-9(+])")
 _INTL = _rx(r"(?<![0-9])\+([0-9 ()-]*)")
 _CARD = _rx(r"(?<![0-9])(?=([0-9](?:[- ]?[0-9]){12,18}+)(?![0-9]))")
 _IPV4 = _java(patterns.IPV4)

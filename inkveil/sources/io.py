@@ -49,7 +49,7 @@ def read_corpora(spark: SparkSession, path: str) -> DataFrame:
 def write_audit(events: DataFrame, path: str, mode: str = "append") -> None:
     """Events as JSON lines; confidences with two decimals.  Events never hold a value."""
     known = [n.strip("` ").split(" ")[0].strip("`") for n in AUDIT.split(",")]
-    columns = [F.format_string("%.2f", "confidence").cast("double").alias("confidence") if c == "confidence" else F.col(c) for c in known if c in events.columns]
+    columns = [F.round("confidence", 2).alias("confidence") if c == "confidence" else F.col(c) for c in known if c in events.columns]
     events.select(*columns).write.mode(mode).json(path)
 
 

@@ -534,3 +534,33 @@ def _rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("rate_limited", _rate, "SELECT user_id, cast(sum(k) as bigint) AS n, cast(sum(least(k, 2)) as bigint) AS allowed FROM (SELECT user_id, event_id % 1000 AS w, count(*) AS k FROM events WHERE user_id % 10 = 0 GROUP BY 1, 2) GROUP BY user_id")
 add("table_function", lambda s, d: (F.udtf(FindPii, returnType="start: int, end: int, redact_start: int, token: string")(F.lit("a@b.org from 10.0.0.1"), F.lit("email,ip"), F.lit("us"))).select(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "token"), "SELECT * FROM (VALUES (cast(0 as bigint), cast(7 as bigint), '[EMAIL_REDACTED]'), (13, 21, '[IPV4_REDACTED]')) v(\"start\", \"end\", token)")
+
+# ---------------------------------------------------------------- spans and near matches
+
+
+
+def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import spans
+
+    one = lambda i: F.struct((i * 5).cast("int").alias("start"), (i * 5 + 3 + (F.col("o_orderkey") + i) % 9).cast("int").alias("end"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.transform(F.sequence(F.lit(0), F.lit(5)), one).alias("s"))
+    kept = rows.withColumn("g", spans.greedy("s"))
+    return kept.select("o_orderkey", F.size("g").cast("long").alias("n"), F.element_at("g", -1)["end"].cast("long").alias("last"), F.size(spans.gaps("g", F.lit(60))).cast("long").alias("gaps"))
+
+
+add("greedy_spans", _greedy)
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import spans
+
+    docs = read(spark, sf_dir, "customer").select("c_custkey", F.expr("concat('seen J', substr('o0q', cast(c_custkey % 3 as int) + 1, 1), 'hn Doe today')").alias("t"))
+    names = spark.createDataFrame([("John Doe",)], "name string")
+    return spans.near_matches(docs, "c_custkey", "t", names).select("c_custkey", F.col("word").cast("long").alias("word"), "window", "confidence")
+
+
+add(
+    "near_matches",
+    _near,
+    "SELECT c_custkey, cast(w as bigint) AS word, CASE w WHEN 2 THEN CASE n WHEN 2 THEN concat('J', c, 'hn Doe') ELSE 'John' END ELSE 'Doe' END AS \"window\", CASE WHEN w = 2 AND c <> 'o' THEN 0.875::double ELSE 1.0::double END AS confidence FROM (SELECT c_custkey, substr('o0q', cast(c_custkey % 3 as int) + 1, 1) AS c FROM customer), (VALUES (2, 2), (2, 1), (3, 1)) v(w, n) WHERE NOT (w = 2 AND n = 1 AND c <> 'o')",
+)

@@ -27,6 +27,7 @@ import math
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ K, BAND = 96, 4
 CHUNK = 1 << 20
 #: Rows up to which a table of node keys (some 40 bytes each) is broadcast.
 BROADCAST_ROWS = 1_000_000
+#: Edges up to which components are found in one task (some 100 bytes each there).
+EDGES = 500_000
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 _WORD = np.zeros(256, bool)
@@ -243,20 +246,43 @@ def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     return map_rows(slim.join(left, "a").join(right, "b"), ["a", "b", "left", "right"], "a long, b long", step)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(nid, comp): the smallest node of each connected component, by large and small stars.
+def _union(edges: DataFrame) -> DataFrame:
+    """Components of a bounded number of edges by union-find in one task."""
 
-    Each turn is an aggregation and a join on the edges; the table written in between
-    cuts the lineage.  Isolated nodes have no row.
+    def run(batches):
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = find(u), find(v)
+                root[max(a, b)] = min(a, b)
+        nids = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nids, pa.int64()), pa.array([find(x) for x in nids], pa.int64())], names=["nid", "comp"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "nid long, comp long")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """Components of any number of edges (u > v), by large and small stars.
+
+    Each turn is two aggregations and joins on the edges; the table written in between
+    cuts the lineage.  At the end every node points at its component's smallest.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).dropDuplicates())
     state = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).dropDuplicates()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        edges = cut(large.join(lowest, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("e")).select(F.greatest("e.x", "e.y").alias("u"), F.least("e.x", "e.y").alias("v")).where("u <> v").dropDuplicates())
+        ends = F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))
+        small = large.join(lowest, "u").select(F.explode(ends).alias("e")).select(F.greatest("e.x", "e.y").alias("u"), F.least("e.x", "e.y").alias("v"))
+        edges = cut(small.where("u <> v").dropDuplicates())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -264,6 +290,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("nid"), "comp").unionAll(edges.select(F.col("v").alias("nid"), F.col("v").alias("comp")).dropDuplicates())
 
 
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(nid, comp): the smallest node of each connected component; isolated nodes have no row.
+
+    Up to ``most`` edges (counted; EDGES if not given) meet in one task, which they fit
+    easily; more go through stars.  Both give the same rows.
+    """
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).dropDuplicates())
+    return _union(edges) if edges.count() <= (EDGES if most is None else most) else _stars(edges)
+
+
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Labels (nid, comp) after links between labels were added."""
     moved = components(links).select(F.col("nid").alias("comp"), F.col("comp").alias("to"))

@@ -26,7 +26,21 @@ RULES = (
 )
 LOOKAHEAD = 64
 _BREAK = " \t\n\r.,;:!?"
-_PREFIX = re.compile("|".join(re.escape(p) for rule in RULES for p in sorted(rule.prefixes, key=len)), re.IGNORECASE | re.ASCII)
+
+
+def _tree(words: list[str]) -> str:
+    """A pattern for any of some words that branches one character at a time."""
+    if "" in words:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for word in words:
+        heads.setdefault(word[0], []).append(word[1:])
+    branches = [re.escape(c) + _tree(rest) for c, rest in heads.items()]
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
+
+
+#: Where some prefix starts, in lower case.
+_PREFIX = re.compile(_tree([p for rule in RULES for p in rule.prefixes]))
 _WORDS = re.compile(r"([^ \t\n\r.,;:!?]+)|([.,\n])|[ \t\r;:!?]")
 
 
@@ -64,7 +78,7 @@ def find(text: str, threshold: float = 0.70) -> list[ContextMatch]:
     rules = [r for r in RULES if float32(r.confidence) >= least]
     low = text.lower() if text.isascii() else "".join(c.lower() if c < "\x80" else c for c in text)
     out, at = [], 0
-    while m := _PREFIX.search(text, at):
+    while m := _PREFIX.search(low, at):
         at = m.start()
         for rule, prefix in ((r, p) for r in rules for p in r.prefixes if low.startswith(p, at)):
             begin = at + len(prefix)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+
 from .text import float32
 
 ALIAS = "Entity_"
@@ -169,51 +172,110 @@ def edits(a: str, b: str) -> int:
     return score
 
 
+_KIND = np.zeros(256, np.uint8)  # 1: letter or digit, 2: space or tab
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_KIND[[32, 9]] = 2
+_LOWER = np.arange(256, dtype=np.int64)
+_LOWER[65:91] += 32
+_LOWER[9] = 32
+_PLAIN = np.ones(256, np.uint8)  # 0: dropped from a normal form, 2: white space
+_PLAIN[[ord(c) for c in ".,'\"!?;:()[]{}"]] = 0
+_PLAIN[[32, 9, 10, 13]] = 2
+
+
+def _kept(kind: np.ndarray) -> np.ndarray:
+    """Which bytes stay if kind 0 goes and each run of kind 2 becomes one."""
+    keep = kind > 0
+    places = np.flatnonzero(keep)
+    space = kind[places] == 2
+    keep[places[1:][space[1:] & space[:-1]]] = False
+    return keep
+
+
 class Fuzzy:
-    """Near matches of names: windows of as many words as a variant has, or one more."""
+    """Near matches of names: windows of as many words as a variant has, or one more.
+
+    Lengths and trigrams of all windows of a text are compared with a variant by running
+    sums over the text's bytes; only windows that pass are normalised and measured.
+    """
 
     def __init__(self, names: list[str], threshold: float = 0.80):
         self.threshold = float32(threshold)
-        self.variants: list[tuple[str, int, int, int]] = []
+        self.variants: list[tuple[str, int, np.ndarray, int]] = []
         for i, name in enumerate(names):
             parts = name.split(" ")
             forms = [normal(name)] + ([v for v in (normal(parts[0]), normal(parts[-1])) if len(v) >= 3] if len(parts) > 1 else [])
             for form in forms:
                 if count := len(_FUZZY.findall(form)):
-                    self.variants.append((form, i, trigrams(form), count))
+                    bits = trigrams(form)
+                    self.variants.append((form, i, np.array([bits >> b & 1 for b in range(128)], np.int32), count))
         self.most_words = max((v[3] for v in self.variants), default=0)
 
-    def _score(self, form: str, bits: int, window: str) -> float | None:
-        longest = max(len(form), len(window))
-        if longest and min(len(form), len(window)) / longest < self.threshold * 0.7:
-            return None
-        if not raw_trigrams(window) & bits:
-            return None
+    def _score(self, form: str, window: str) -> float | None:
         plain = normal(window)
         longest = max(len(form), len(plain))
-        if not longest or longest > 128 or len(form) > 64 or min(len(form), len(plain)) / longest < self.threshold:
+        if not longest or len(plain) > 128 or len(form) > 64 or min(len(form), len(plain)) / longest < self.threshold:
             return None
+        most = math.floor(longest * (1.0 - self.threshold))
+        if form == plain:
+            return 1.0
         distance = edits(form, plain)
         score = 1.0 - distance / longest
-        return score if distance <= math.floor(longest * (1.0 - self.threshold)) and score >= self.threshold else None
+        return score if distance <= most and score >= self.threshold else None
 
     def find(self, text: str, gaps: list[tuple[int, int]] | None = None) -> list[Span]:
         """Near matches in a byte text, or within gaps of it; leftmost, then longest."""
-        found = []
+        found: list[Span] = []
         for begin, end in [(0, len(text))] if gaps is None else gaps:
-            words = [m.span() for m in _FUZZY.finditer(text, begin, end)]
-            scored: dict[tuple[int, str], float | None] = {}
-            for k, (form, owner, bits, count) in enumerate(self.variants):
-                for size in (count, count + 1):
-                    for i in range(len(words) - size + 1):
-                        window = text[words[i][0] : words[i + size - 1][1]]
-                        key = (k, window)
-                        if key not in scored:
-                            scored[key] = self._score(form, bits, window)
-                        if (score := scored[key]) is not None:
-                            found.append(Span(words[i][0], words[i + size - 1][1], owner, score))
+            self._scan(text[begin:end], begin, found)
         return greedy(found)
 
+    def _scan(self, text: str, offset: int, found: list[Span]) -> None:
+        words = np.array([m.span() for m in _FUZZY.finditer(text)], np.int64).reshape(-1, 2)
+        if not len(words) or not self.variants:
+            return
+        data = np.frombuffer(text.encode("latin-1"), np.uint8)
+        keep = _kept(_KIND[data])
+        clean = _LOWER[data[keep]]
+        hashed = (31 * clean[:-2] + 7 * clean[1:-1] + clean[2:]) & 127 if len(clean) > 2 else np.zeros(0, np.int64)
+        at_clean = np.concatenate([[0], np.cumsum(keep)])
+        at_plain = np.concatenate([[0], np.cumsum(_kept(_PLAIN[data]))])
+        folded = np.where(_PLAIN[data] == 2, 32, _LOWER[data])
+        tally: dict[int, np.ndarray] = {}
+        counts: dict[int, np.ndarray] = {}
+
+        def letters(c: int) -> np.ndarray:
+            if c not in counts:
+                counts[c] = np.concatenate([[0], np.cumsum(folded == c)])
+            return counts[c]
+
+        for k, (form, owner, bits, count) in enumerate(self.variants):
+            for size in (count, count + 1):
+                if size > len(words):
+                    continue
+                start, stop = words[: len(words) - size + 1, 0], words[size - 1 :, 1]
+                raw, plain = stop - start, at_plain[stop] - at_plain[start]
+                ok = np.minimum(raw, len(form)) >= self.threshold * 0.7 * np.maximum(raw, len(form)) - 1e-9
+                # a normal form may lose a blank at either end of what is counted here
+                ok &= np.minimum(plain + 2, len(form)) >= self.threshold * np.maximum(plain - 2, len(form)) - 1e-9
+                rows = np.flatnonzero(ok)
+                if not len(rows):
+                    continue
+                if k not in tally:
+                    tally[k] = np.concatenate([[0], np.cumsum(bits[hashed])])
+                low, high = at_clean[start[rows]], at_clean[stop[rows]]
+                runs = np.minimum(high, low + 64) - low
+                last = np.minimum(low + np.maximum(runs - 2, 0), len(hashed))
+                share = (tally[k][last] > tally[k][np.minimum(low, len(hashed))]) | (runs < 3) | (raw[rows] < 3)
+                rows = rows[share]
+                # what stays in place under the edits allowed: letters that both have
+                both = sum(np.minimum(letters(c)[stop[rows]] - letters(c)[start[rows]], n) for c, n in Counter(form.encode("latin-1")).items())
+                rows = rows[both >= self.threshold * np.maximum(plain[rows] - 2, len(form)) - 1e-9]
+                for i in rows:
+                    a, b = int(start[i]), int(stop[i])
+                    if (score := self._score(form, text[a:b])) is not None:
+                        found.append(Span(offset + a, offset + b, owner, score))
+
 
 def gaps(length: int, masked: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """What masked regions leave."""

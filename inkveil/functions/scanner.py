@@ -105,7 +105,7 @@ _STATE = _rx(r",(?=[ ,\t]*([A-Za-z]{2})[ ,\t]+[0-9]{5}(?![0-9]))")
 _WORD_START = _rx(_START + r"[A-Za-z]")
 _AT = _rx(r"([A-Za-z0-9.+_-]+)@(?=([A-Za-z0-9.-]+))")
 _TLD = _rx(r"[A-Za-z]{2,}")
-_PHONE = _rx(r"(?<![0-9])(?=(\+?\(?[-. ()]*[0-9](?:[-. ()]*[0-9]){9,14}+)(?![0-9]))(?=[0-9(+])")
+_PHONE = _rx(r"(?=[0-9(+])(?<![0-9])(?=(\+?\(?[-. ()]*[0-9](?:[-. ()]*[0-9]){9,14}+)(?![0-9]))")
 _INTL = _rx(r"(?<![0-9])\+([0-9 ()-]*)")
 _CARD = _rx(r"(?<![0-9])(?=([0-9](?:[- ]?[0-9]){12,18}+)(?![0-9]))")
 _IPV4 = _java(patterns.IPV4)
@@ -115,6 +115,14 @@ _IBAN = _rx(r"(?<![A-Za-z0-9_])(?=([A-Za-z]{2}[0-9]{2}[A-Za-z0-9]*(?: [A-Za-z0-9
 _IBAN_WORD = _rx(r"[A-Za-z0-9]+")
 
 
+def _holds(text: str, words: tuple[str, ...]) -> bool:
+    low = text.lower()
+    return any(word in low for word in words)
+
+
+_DIGIT = re.compile("[0-9]").search
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) for d in digits[::-2]) + sum((0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(d)] for d in digits[-2::-2])
     return total % 10 == 0
@@ -146,7 +154,7 @@ def _uk_phone(d: str) -> bool:
 
 def _phones(text: str, flags: Flags) -> Iterator[Match]:
     us, uk = flags.phone and flags.within("us"), flags.uk_phone
-    if not (us or uk):
+    if not (us or uk) or not _DIGIT(text):
         return
     for place, start, end, digits in _phone_digits(text):
         bare = text[place].isdigit()
@@ -166,7 +174,9 @@ def _emails(text: str) -> Iterator[Match]:
 
 
 def _dates(text: str) -> Iterator[Match]:
-    for pattern in (_NUMERIC_DATE, _MONTH_DATE):
+    if not _DIGIT(text):
+        return
+    for pattern in (_NUMERIC_DATE, _MONTH_DATE) if _holds(text, DATE_WORDS) else ():
         for m in pattern.finditer(text):
             if near(text, m.start(), m.end(), DATE_WORDS, 30, 20):
                 yield Match(m.start(), 0, m.start(), m.end(), m.start(), "[DATE_REDACTED]")
@@ -241,9 +251,9 @@ def _ibans(text: str) -> Iterator[Match]:
 
 
 def _ips(text: str) -> Iterator[Match]:
-    for m in _IPV4.finditer(text):
+    for m in _IPV4.finditer(text) if _DIGIT(text) else ():
         yield Match(m.start(), 11, m.start(), m.end(), m.start(), "[IPV4_REDACTED]")
-    for m in _IPV6.finditer(text):
+    for m in _IPV6.finditer(text) if text.count(":") > 1 else ():
         groups = len(re.findall(_GROUP, m[0]))
         if len(m[0]) >= 3 and (m[1] is None or groups <= 7):
             yield Match(m.start(), 11.5, m.start(), m.end(), m.start(), "[IPV6_REDACTED]")
@@ -265,11 +275,16 @@ def _intl(text: str) -> Iterator[Match]:
             yield Match(m.start(), 14, m.start(), m.start() + 1 + len(run), m.start(), "[INTL_PHONE_REDACTED]")
 
 
-def _plain(pattern: str, rank: float, token: str, valid: Callable[[str], bool] | None = None) -> Callable[[str], Iterator[Match]]:
-    """A detector that one pattern states; a first group is a label that stays."""
+def _plain(pattern: str, rank: float, token: str, valid: Callable[[str], bool] | None = None, words: tuple[str, ...] = ()) -> Callable[[str], Iterator[Match]]:
+    """A detector that one pattern states; a first group is a label that stays.
+
+    ``words``: without one of these, in any case, a text has no match and isn't searched.
+    """
     rx = _java(pattern)
 
     def propose(text: str) -> Iterator[Match]:
+        if words and not _holds(text, words):
+            return
         for m in rx.finditer(text):
             if valid is None or valid(m[0]):
                 label = m.end(1) if rx.groups and m[1] is not None else m.start()
@@ -279,15 +294,15 @@ def _plain(pattern: str, rank: float, token: str, valid: Callable[[str], bool] |
 
 
 _POSTCODE = _plain(patterns.POSTCODE, 2, "[POSTCODE_REDACTED]")
-_VEHICLES = _plain(patterns.PLATE, 3, "[LICENSE_PLATE_REDACTED]"), _plain(patterns.VIN, 3.5, "[VIN_REDACTED]", _vin)
-_URL = _plain(patterns.URL, 5, "[URL_REDACTED]")
+_VEHICLES = _plain(patterns.PLATE, 3, "[LICENSE_PLATE_REDACTED]", words=("plate", "tag")), _plain(patterns.VIN, 3.5, "[VIN_REDACTED]", _vin)
+_URL = _plain(patterns.URL, 5, "[URL_REDACTED]", words=("://", "www."))
 _SINS = _plain(patterns.SIN, 8, "[SIN_REDACTED]", _sin), _plain(patterns.HEALTH_CARD, 8.5, "[HEALTH_REDACTED]")
-_LICENCES = _plain(patterns.NPI, 10, "[NPI_REDACTED]", lambda v: luhn("80840" + v)), _plain(patterns.LICENCE, 16, "[DL_REDACTED]"), _plain(patterns.DEA, 16.5, "[DEA_REDACTED]", _dea)
-_HEALTH = _plain(patterns.MRN, 15, "[MRN_REDACTED]"), _plain(patterns.INSURANCE, 15.1, "[INSURANCE_REDACTED]"), _plain(patterns.ICD10, 15.2, "[ICD10_REDACTED]")
-_ACCOUNTS = _plain(patterns.ROUTING, 17, "[ROUTING_REDACTED]"), _plain(patterns.ACCOUNT, 17.5, "[ACCOUNT_REDACTED]")
+_LICENCES = _plain(patterns.NPI, 10, "[NPI_REDACTED]", lambda v: luhn("80840" + v)), _plain(patterns.LICENCE, 16, "[DL_REDACTED]", words=("lic", "dl")), _plain(patterns.DEA, 16.5, "[DEA_REDACTED]", _dea)
+_HEALTH = _plain(patterns.MRN, 15, "[MRN_REDACTED]", words=("mrn", "mr#", "medical record", "patient id")), _plain(patterns.INSURANCE, 15.1, "[INSURANCE_REDACTED]", words=("insurance id", "member id", "policy #", "group #")), _plain(patterns.ICD10, 15.2, "[ICD10_REDACTED]")
+_ACCOUNTS = _plain(patterns.ROUTING, 17, "[ROUTING_REDACTED]", words=("routing", "aba")), _plain(patterns.ACCOUNT, 17.5, "[ACCOUNT_REDACTED]", words=("acc",))
 _NINO = _plain(patterns.NINO, 19, "[UK_NINO_REDACTED]")
 _NHS = _plain(patterns.NHS, 20, "[NHS_REDACTED]", _nhs)
-_PASSPORT = _plain(patterns.PASSPORT, 21, "[PASSPORT_REDACTED]")
+_PASSPORT = _plain(patterns.PASSPORT, 21, "[PASSPORT_REDACTED]", words=("passport",))
 
 
 def detectors(flags: Flags) -> list[Callable[[str], Iterator[Match]]]:

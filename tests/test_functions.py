@@ -209,6 +209,41 @@ def test_fuzzy():
     assert names.gaps(10, [(2, 4), (3, 6)]) == [(0, 2), (6, 10)] and names.gaps(0, []) == []
 
 
+def slow_fuzzy(value, known, threshold):
+    """Every window against every variant, one by one."""
+    t, found = text.float32(threshold), []
+    words = [m.span() for m in names._FUZZY.finditer(value)]
+    for i, name in enumerate(known):
+        parts = name.split(" ")
+        for form in [names.normal(name)] + ([f for f in (names.normal(parts[0]), names.normal(parts[-1])) if len(f) >= 3] if len(parts) > 1 else []):
+            count = len(names._FUZZY.findall(form))
+            for size in (count, count + 1) if count else ():
+                for k in range(len(words) - size + 1):
+                    a, b = words[k][0], words[k + size - 1][1]
+                    window, plain = value[a:b], names.normal(value[a:b])
+                    if min(len(window), len(form)) / max(len(window), len(form)) < t * 0.7 or not names.raw_trigrams(window) & names.trigrams(form):
+                        continue
+                    longest = max(len(plain), len(form))
+                    if not longest or min(len(plain), len(form)) / longest < t:
+                        continue
+                    d = names.edits(form, plain)
+                    if d <= int(longest * (1 - t)) and 1 - d / longest >= t:
+                        found.append(names.Span(a, b, i, 1 - d / longest))
+    return names.greedy(found)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.8, 0.95])
+def test_fuzzy_against_all_windows(threshold):
+    import random
+
+    rng = random.Random(threshold)
+    known = ["John Doe", "Ann", "Mary Ann O'Neil", "Li", "Dr. X", to_bytes("Zoë Ré")]
+    parts = ["John", "Doe", "J0hn", "Dooe", "Ann", "Anne", "Mary", "O'Neil", "ONeil", "Li", "x", "the", "ëx", "-", ",", ".", "\n", "  ", "\t", "'", "Ré"]
+    for _ in range(150):
+        value = to_bytes("".join(rng.choice(parts) + rng.choice([" ", "", "  ", "\n"]) for _ in range(rng.randint(0, 25))))
+        assert names.Fuzzy(known, threshold).find(value) == slow_fuzzy(value, known, threshold), value
+
+
 def test_edits_against_table():
     import random
 

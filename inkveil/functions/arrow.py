@@ -10,7 +10,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Rows and bytes of a batch, which bound a Python worker's memory.
-ROWS, BYTES = 2000, 16 << 20
+ROWS, BYTES = 500, 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:

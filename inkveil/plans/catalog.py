@@ -129,10 +129,18 @@ built("sin_valid", "orders", "o_orderkey", pad("(o_orderkey * 7919) % 1000000000
 built("vin_valid", "orders", "o_orderkey", f"concat('1M8GDM9', 'A', substr('0123456789X', cast(o_orderkey % 11 as int) + 1, 1), 'KP', {pad('(o_orderkey * 31) % 1000000', 6)})", checksums.vin_valid, f"({_sum('translate(t, ' + chr(39) + 'ADGKMPX' + chr(39) + ', ' + chr(39) + '1472477' + chr(39) + ')', [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2])} % 11) = (CASE WHEN substr(t, 9, 1) = 'X' THEN 10 ELSE {_digit('t', 9).replace('cast', 'try_cast')} END)")
 built("iban_valid", "orders", "o_orderkey", f"concat('DE', {pad('o_orderkey % 97', 2)}, {pad('(o_orderkey * 7919) % 1000000000', 18)})", checksums.iban_valid, "cast(concat(substr(t, 5), '1314', substr(t, 3, 2)) as hugeint) % 97 = 1")
 built("us_phone_valid", "orders", "o_orderkey", "cast(o_orderkey * 7919 + 1990000000 as string)", checksums.us_phone_valid, "regexp_full_match(t, '1?[2-9][0-9]{2}[2-9][0-9]{6}')")
+_PHONE_FORM = "[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}"
+
+
+def _phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(_PHONE_FORM), F.lit(0))).alias("p"))
+    return found.withColumn("o", redactor(Flags(phone=True))("p")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("o") == "[PHONE_REDACTED]").cast("long")).alias("redacted"))
+
+
 add(
     "phone_redact_docs",
-    lambda s, d: read(s, d, "documents").select("doc_id", redactor(Flags(phone=True))("text").alias("t")).select("doc_id", F.regexp_count("t", F.lit("\\[PHONE_REDACTED\\]")).cast("long").alias("n")).where("n > 0"),
-    None,
+    _phones,
+    f"SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(p, '[(][2-9][0-9]{{2}}[)] [2-9]')) AS redacted FROM (SELECT lang, unnest(regexp_extract_all(text, '{_PHONE_FORM}')) AS p FROM documents) GROUP BY lang",
 )
 _CALL = f"concat('call (', {pad('o_orderkey % 1000', 3)}, ') 2', {pad('o_orderkey % 100', 2)}, '-', {pad('o_orderkey % 10000', 4)}, ' now')"
 _RAW_CALL = f"concat('(', {pad('o_orderkey % 1000', 3)}, ') 2', {pad('o_orderkey % 100', 2)}, '-', {pad('o_orderkey % 10000', 4)})"
@@ -152,6 +160,7 @@ scanned("scan_national_ids", "customer", "c_custkey", "concat('ref', cast(c_cust
 add(
     "find_pii_tokens",
     lambda s, d: redaction.find_matches(read(s, d, "documents").select("doc_id", "text"), "text", Flags(email=True, ip=True)).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("end") - F.col("start")).cast("long").alias("shortest")),
+    f"SELECT token, count(*) AS n, cast(min(strlen(m)) as bigint) AS shortest FROM (SELECT '[IPV4_REDACTED]' AS token, unnest(list_filter(regexp_extract_all(text, '[vV]?[0-9.]+'), lambda x: regexp_full_match(x, '({_OCTET}[.]){{3}}{_OCTET}'))) AS m FROM documents UNION ALL SELECT '[EMAIL_REDACTED]', unnest(list_filter(regexp_extract_all(text, '[A-Za-z0-9.+_-]+@[A-Za-z0-9.-]+'), lambda x: regexp_full_match(x, '[A-Za-z0-9+_-]([A-Za-z0-9.+_-]*[A-Za-z0-9+_-])?@[A-Za-z0-9]([A-Za-z0-9-]*[.])([A-Za-z0-9-]+[.])*[A-Za-z]{{2,}}'))) FROM documents) GROUP BY token",
 )
 
 
@@ -412,7 +421,20 @@ add("audit_by_stage", lambda s, d: audit.by_stage(audit_events(s, d)), f"SELECT
 add("audit_by_payload", lambda s, d: audit.by_payload(audit_events(s, d)), f"SELECT p.payload_type, count(e.stage) AS n FROM (VALUES ('text'), ('json'), ('unknown')) p(payload_type) LEFT JOIN {_COUNTED} e ON p.payload_type = CASE WHEN e.payload_type IN ('text', 'json') THEN e.payload_type ELSE 'unknown' END GROUP BY p.payload_type")
 add("fuzzy_bands", lambda s, d: audit.fuzzy_bands(audit_events(s, d)), f"SELECT b.band, count(e.stage) AS n FROM (VALUES ('0.80-0.85'), ('0.85-0.90'), ('0.90-0.95'), ('0.95-1.00')) b(band) LEFT JOIN (SELECT * FROM ({_EVENTS}) WHERE stage = 'fuzzy_match') e ON b.band = CASE WHEN confidence < 0.85 THEN '0.80-0.85' WHEN confidence < 0.9 THEN '0.85-0.90' WHEN confidence < 0.95 THEN '0.90-0.95' ELSE '0.95-1.00' END GROUP BY b.band")
 add("audit_totals", lambda s, d: audit.totals(read(s, d, "documents").select(F.octet_length("text").alias("body_bytes")), audit_events(s, d)), f"SELECT * FROM (SELECT count(*) AS requests_evaluated, cast(sum(strlen(text)) as bigint) AS bytes_scanned FROM documents), (SELECT count(*) AS total_matches FROM {_COUNTED})")
-add("audit_snapshot", lambda s, d: audit.snapshot(read(s, d, "documents").select(F.octet_length("text").alias("body_bytes")), audit_events(s, d)))
+
+
+def _counts_json(column: str, table: str, labels: tuple[str, ...]) -> str:
+    """A JSON object of counts by label, in SQL, in the labels' order."""
+    parts = [f"'\"{x}\":', cast(count(*) FILTER ({column} = '{x}') as string)" for x in labels]
+    return f"(SELECT concat('{{', {", ',', ".join(parts)}, '}}') FROM {table})"
+
+
+_PAYLOAD = "CASE WHEN payload_type IN ('text', 'json') THEN payload_type ELSE 'unknown' END"
+_BAND = "CASE WHEN confidence < 0.85 THEN '0.80-0.85' WHEN confidence < 0.9 THEN '0.85-0.90' WHEN confidence < 0.95 THEN '0.90-0.95' WHEN confidence IS NOT NULL THEN '0.95-1.00' END"
+_SNAPSHOT = f"""SELECT concat('{{"requests_evaluated":', (SELECT cast(count(*) as string) FROM documents), ',"bytes_scanned":', (SELECT cast(sum(strlen(text)) as string) FROM documents),
+  ',"total_matches":', (SELECT cast(count(*) as string) FROM {_COUNTED}), ',"matches_by_stage":', {_counts_json("stage", _COUNTED, audit.STAGES)},
+  ',"matches_by_payload_type":', {_counts_json(_PAYLOAD, _COUNTED, audit.PAYLOADS)}, ',"fuzzy_confidence_bands":', {_counts_json(_BAND, _COUNTED, audit.BANDS)}, '}}') AS report"""
+add("audit_snapshot", lambda s, d: audit.snapshot(read(s, d, "documents").select(F.octet_length("text").alias("body_bytes")), audit_events(s, d)), _SNAPSHOT)
 add("audit_window", lambda s, d: audit.by_stage(audit.in_window(audit_events(s, d), read(s, d, "events").where("event_id % 1000 = 7").select("ts"))), f"SELECT s.stage, count(e.stage) AS n FROM {_STAGES} LEFT JOIN (SELECT * FROM {_COUNTED} WHERE ts > (SELECT max(ts) FROM events WHERE event_id % 1000 = 7)) e ON s.stage = e.stage GROUP BY s.stage")
 add("audit_cap", lambda s, d: audit.capped(audit_events(s, d), most=20).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last")), f"SELECT session_id, count(*) AS n, max(seq) AS last FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS r FROM ({_EVENTS})) WHERE r <= 20 GROUP BY session_id")
 add("audit_dropped", lambda s, d: audit.dropped(audit_events(s, d), most=20), f"SELECT session_id, count(*) - 20 AS dropped FROM ({_EVENTS}) GROUP BY session_id HAVING count(*) > 20")

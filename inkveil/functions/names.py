@@ -15,14 +15,13 @@ from .text import float32
 ALIAS = "Entity_"
 #: Aliases by letters reach as far as ZZ.
 LEGACY = 26 + 26 * 26
-_FOLD = {i: chr(i) if chr(i).isalnum() or chr(i) in " .-'" else "\0" for i in range(128)}
-_FOLD.update({i: chr(i + 32) for i in range(65, 91)})
+_FOLD = bytes(i + 32 if 65 <= i <= 90 else i if i > 127 or chr(i).isalnum() or chr(i) in " .-'" else 0 for i in range(256))
 _FREE = frozenset(chr(i) for i in range(128) if not chr(i).isalnum())
 
 
 def fold(text: str) -> str:
-    """Case folded; the ASCII characters that names don't tell apart are one."""
-    return text.translate(_FOLD)
+    """A byte text, case folded; the ASCII characters that names don't tell apart are one."""
+    return text.encode("latin-1").translate(_FOLD).decode("latin-1")
 
 
 def alias(group: int) -> str:

@@ -49,8 +49,15 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _replace(pattern: str, to: str) -> Callable[[Column | str], Column]:
-    return lambda c: F.regexp_replace(_col(c), pattern, to)
+def _replace(pattern: str, to: str, holds: str | None = None) -> Callable[[Column | str], Column]:
+    """A replacement; texts without ``holds``, which every match has, skip the expression."""
+
+    def replace(c: Column | str) -> Column:
+        c = _col(c)
+        done = F.regexp_replace(c, pattern, to)
+        return done if holds is None else F.when(F.contains(c, F.lit(holds)), done).otherwise(c)
+
+    return replace
 
 
 def replace_valid(c: Column | str, pattern: str, valid: Callable[[Column], Column], token: str) -> Column:
@@ -65,8 +72,8 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
-mask_ssn = _replace(SSN, "***-**-****")
-redact_email = _replace(EMAIL, "[EMAIL_REDACTED]")
+mask_ssn = _replace(SSN, "***-**-****", "-")
+redact_email = _replace(EMAIL, "[EMAIL_REDACTED]", "@")
 redact_ipv4 = _replace(IPV4, "[IPV4_REDACTED]")
 redact_mrn = _replace(MRN, "$1[MRN_REDACTED]")
 redact_insurance = _replace(INSURANCE, "$1[INSURANCE_REDACTED]")
@@ -78,7 +85,7 @@ redact_nino = _replace(NINO, "[UK_NINO_REDACTED]")
 redact_postcode = _replace(POSTCODE, "[POSTCODE_REDACTED]")
 redact_health_card = _replace(HEALTH_CARD, "[HEALTH_REDACTED]")
 redact_passport = _replace(PASSPORT, "$1[PASSPORT_REDACTED]")
-redact_intl_phone = _replace(INTL_PHONE, "[INTL_PHONE_REDACTED]")
+redact_intl_phone = _replace(INTL_PHONE, "[INTL_PHONE_REDACTED]", "+")
 
 
 def redact_zip(c: Column | str) -> Column:

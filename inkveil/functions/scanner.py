@@ -120,7 +120,7 @@ def _holds(text: str, words: tuple[str, ...]) -> bool:
     return any(word in low for word in words)
 
 
-_DIGIT = re.compile("[0-9]").search
+_DIGIT, _LONG = re.compile("[0-9]").search, re.compile("[0-9](?:[- ]?[0-9]){12}").search
 
 
 def luhn(digits: str) -> bool:
@@ -166,7 +166,7 @@ def _phones(text: str, flags: Flags) -> Iterator[Match]:
 
 
 def _emails(text: str) -> Iterator[Match]:
-    for m in _AT.finditer(text):
+    for m in _AT.finditer(text) if "@" in text else ():
         local, domain = m[1], m[2]
         labels = domain.split(".")
         if local[0] != "." != local[-1] and len(domain) >= 4 and len(labels) > 1 and all(labels) and domain[0] != "-" and _TLD.fullmatch(labels[-1]):
@@ -260,7 +260,7 @@ def _ips(text: str) -> Iterator[Match]:
 
 
 def _cards(text: str) -> Iterator[Match]:
-    for m in _CARD.finditer(text):
+    for m in _CARD.finditer(text) if _LONG(text) else ():
         d = re.sub("[^0-9]", "", m[1])
         if re.match("4|5[1-5]|3[47]|6011|65", d) or 2221 <= int(d[:4]) <= 2720:
             if luhn(d):
@@ -275,15 +275,16 @@ def _intl(text: str) -> Iterator[Match]:
             yield Match(m.start(), 14, m.start(), m.start() + 1 + len(run), m.start(), "[INTL_PHONE_REDACTED]")
 
 
-def _plain(pattern: str, rank: float, token: str, valid: Callable[[str], bool] | None = None, words: tuple[str, ...] = ()) -> Callable[[str], Iterator[Match]]:
+def _plain(pattern: str, rank: float, token: str, valid: Callable[[str], bool] | None = None, words: tuple[str, ...] = (), part: str = "") -> Callable[[str], Iterator[Match]]:
     """A detector that one pattern states; a first group is a label that stays.
 
-    ``words``: without one of these, in any case, a text has no match and isn't searched.
+    ``words``: without one of these, in any case, a text has no match and isn't searched;
+    ``part``: the same with a pattern that every match holds.
     """
-    rx = _java(pattern)
+    rx, holds = _java(pattern), re.compile(part).search if part else None
 
     def propose(text: str) -> Iterator[Match]:
-        if words and not _holds(text, words):
+        if (words and not _holds(text, words)) or (holds and not holds(text)):
             return
         for m in rx.finditer(text):
             if valid is None or valid(m[0]):
@@ -294,11 +295,11 @@ def _plain(pattern: str, rank: float, token: str, valid: Callable[[str], bool] |
 
 
 _POSTCODE = _plain(patterns.POSTCODE, 2, "[POSTCODE_REDACTED]")
-_VEHICLES = _plain(patterns.PLATE, 3, "[LICENSE_PLATE_REDACTED]", words=("plate", "tag")), _plain(patterns.VIN, 3.5, "[VIN_REDACTED]", _vin)
+_VEHICLES = _plain(patterns.PLATE, 3, "[LICENSE_PLATE_REDACTED]", words=("plate", "tag")), _plain(patterns.VIN, 3.5, "[VIN_REDACTED]", _vin, part="[A-Za-z0-9]{17}")
 _URL = _plain(patterns.URL, 5, "[URL_REDACTED]", words=("://", "www."))
 _SINS = _plain(patterns.SIN, 8, "[SIN_REDACTED]", _sin), _plain(patterns.HEALTH_CARD, 8.5, "[HEALTH_REDACTED]")
-_LICENCES = _plain(patterns.NPI, 10, "[NPI_REDACTED]", lambda v: luhn("80840" + v)), _plain(patterns.LICENCE, 16, "[DL_REDACTED]", words=("lic", "dl")), _plain(patterns.DEA, 16.5, "[DEA_REDACTED]", _dea)
-_HEALTH = _plain(patterns.MRN, 15, "[MRN_REDACTED]", words=("mrn", "mr#", "medical record", "patient id")), _plain(patterns.INSURANCE, 15.1, "[INSURANCE_REDACTED]", words=("insurance id", "member id", "policy #", "group #")), _plain(patterns.ICD10, 15.2, "[ICD10_REDACTED]")
+_LICENCES = _plain(patterns.NPI, 10, "[NPI_REDACTED]", lambda v: luhn("80840" + v), part="[0-9]{10}"), _plain(patterns.LICENCE, 16, "[DL_REDACTED]", words=("lic", "dl")), _plain(patterns.DEA, 16.5, "[DEA_REDACTED]", _dea, part="[0-9]{7}")
+_HEALTH = _plain(patterns.MRN, 15, "[MRN_REDACTED]", words=("mrn", "mr#", "medical record", "patient id")), _plain(patterns.INSURANCE, 15.1, "[INSURANCE_REDACTED]", words=("insurance id", "member id", "policy #", "group #")), _plain(patterns.ICD10, 15.2, "[ICD10_REDACTED]", part="[0-9]{2}[.]")
 _ACCOUNTS = _plain(patterns.ROUTING, 17, "[ROUTING_REDACTED]", words=("routing", "aba")), _plain(patterns.ACCOUNT, 17.5, "[ACCOUNT_REDACTED]", words=("acc",))
 _NINO = _plain(patterns.NINO, 19, "[UK_NINO_REDACTED]")
 _NHS = _plain(patterns.NHS, 20, "[NHS_REDACTED]", _nhs)

@@ -69,3 +69,36 @@ def test_watch_names(spark, tmp_path):
     seen = []
     jobs.watch_names(spark, str(folder), lambda df, version: seen.append((version, sorted(r.name for r in df.collect()))), str(tmp_path / "ck"), once=True).awaitTermination()
     assert seen == [(0, ["Ann", "Bo"])]
+
+
+ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def test_unmask_stream(spark, tmp_path):
+    spark.conf.set(*ROCKS)
+    try:
+        text = "Dear Entity_1, Entity_B and Entity_99 met Entity_12. " * 6
+        batches = [[("d", i, text[i * 90 : (i + 1) * 90], i == 3)] for i in range(4)]
+        stream = read_stream(spark, tmp_path, batches, "doc_id string, seq long, text string, last boolean")
+        rows = finish(chunks.unmask_stream(stream, ["Ann Lee", "Bo"]), "unmasked", tmp_path).orderBy("seq").collect()
+        assert "".join(r.output for r in rows) == text.replace("Entity_1,", "Ann Lee,").replace("Entity_B", "Bo")
+    finally:
+        spark.conf.unset(ROCKS[0])
+
+
+def test_cache_stream(spark, tmp_path):
+    spark.conf.set(*ROCKS)
+    try:
+        batches = [[("t", 1, 0, "a"), ("t", 2, 1, "b"), ("t", 3, 2, "a"), ("u", 1, 0, "a")], [("t", 4, 3, "c"), ("t", 5, 4, "b"), ("t", 6, 5, "c"), ("t", 7, 400_000, "c")]]
+        stream = read_stream(spark, tmp_path, batches, "tenant string, seq long, now_ms long, key_hex string")
+        rows = finish(jobs.cache_stream(stream, capacity=2), "cached", tmp_path).orderBy("tenant", "seq").collect()
+        assert [(r.tenant, r.result) for r in rows] == [("t", "miss"), ("t", "miss"), ("t", "hit"), ("t", "miss"), ("t", "miss"), ("t", "hit"), ("t", "miss"), ("u", "miss")]
+    finally:
+        spark.conf.unset(ROCKS[0])
+
+
+def test_audit_sessions(spark, tmp_path):
+    rows = [("2024-01-01 00:01:00", "ssn", "s", "a"), ("2024-01-01 00:11:00", "ssn", "s", "a"), ("2024-01-01 02:00:00", "ssn", "s", "a"), ("2024-01-01 09:00:00", "ssn", "s", "b")]
+    stream = read_stream(spark, tmp_path, [rows], "ts string, stage string, match_type string, session_id string").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = finish(jobs.audit_sessions(stream), "sessions", tmp_path)
+    assert {(r.session_id, r.n) for r in out.collect()} >= {("a", 2), ("a", 1)}

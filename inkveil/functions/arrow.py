@@ -20,10 +20,11 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def with_column(df: DataFrame, source: str, name: str, ddl: str, build: Callable[[], Callable[[str], object]]) -> DataFrame:
+def with_column(df: DataFrame, source: str, name: str, ddl: str, build: Callable[[], Callable], batched: bool = False) -> DataFrame:
     """Add a column computed from one string column; nulls stay null.
 
-    ``build()`` runs once a task, so that automata and tables are made once there.
+    ``build()`` runs once a task, so that automata and tables are made once there.  Its
+    function gets a text, or with ``batched`` the list of a batch's texts that aren't null.
     """
     bound_batches(df.sparkSession)
     schema = StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {ddl}").fields])
@@ -34,7 +35,9 @@ def with_column(df: DataFrame, source: str, name: str, ddl: str, build: Callable
         work = build()
         for batch in batches:
             if batch.num_rows:
-                values = [None if text is None else work(text) for text in batch.column(place).to_pylist()]
+                texts = batch.column(place).to_pylist()
+                done = iter(work([t for t in texts if t is not None]) if batched else map(work, (t for t in texts if t is not None)))
+                values = [None if text is None else next(done) for text in texts]
                 columns = [*batch.columns, pa.array(values, arrow.field(len(arrow) - 1).type)]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 

@@ -171,6 +171,8 @@ def edits(a: str, b: str) -> int:
     return score
 
 
+#: Bytes of texts that are worked on together.
+RUN = 1 << 20
 _KIND = np.zeros(256, np.uint8)  # 1: letter or digit, 2: space or tab
 _KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
 _KIND[[32, 9]] = 2
@@ -224,15 +226,30 @@ class Fuzzy:
 
     def find(self, text: str, gaps: list[tuple[int, int]] | None = None) -> list[Span]:
         """Near matches in a byte text, or within gaps of it; leftmost, then longest."""
-        found: list[Span] = []
-        for begin, end in [(0, len(text))] if gaps is None else gaps:
-            self._scan(text[begin:end], begin, found)
-        return greedy(found)
-
-    def _scan(self, text: str, offset: int, found: list[Span]) -> None:
+        if gaps is None:
+            return self.find_many([text])[0]
+        parts = self.find_many([text[a:b] for a, b in gaps])
+        return greedy(Span(a + s.start, a + s.end, s.index, s.confidence) for (a, _), spans in zip(gaps, parts, strict=True) for s in spans)
+
+    def find_many(self, texts: list[str]) -> list[list[Span]]:
+        """Near matches of many texts, worked on together in runs of about a megabyte."""
+        out: list[list[Span]] = []
+        first, size = 0, 0
+        for i, text in enumerate(texts):
+            if size and size + len(text) > RUN:
+                out += self._scan(texts[first:i])
+                first, size = i, 0
+            size += len(text)
+        return out + self._scan(texts[first:])
+
+    def _scan(self, texts: list[str]) -> list[list[Span]]:
+        found: list[list[Span]] = [[] for _ in texts]
+        text = "\n".join(texts)
         words = np.array([m.span() for m in _FUZZY.finditer(text)], np.int64).reshape(-1, 2)
         if not len(words) or not self.variants:
-            return
+            return found
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        owners = np.searchsorted(ends, words[:, 0], side="right")
         data = np.frombuffer(text.encode("latin-1"), np.uint8)
         keep = _kept(_KIND[data])
         clean = _LOWER[data[keep]]
@@ -256,6 +273,7 @@ class Fuzzy:
                 raw, plain = stop - start, at_plain[stop] - at_plain[start]
                 ok = np.minimum(raw, len(form)) >= self.threshold * 0.7 * np.maximum(raw, len(form)) - 1e-9
                 # a normal form may lose a blank at either end of what is counted here
+                ok &= owners[: len(start)] == owners[size - 1 :]
                 ok &= np.minimum(plain + 2, len(form)) >= self.threshold * np.maximum(plain - 2, len(form)) - 1e-9
                 rows = np.flatnonzero(ok)
                 if not len(rows):
@@ -273,7 +291,10 @@ class Fuzzy:
                 for i in rows:
                     a, b = int(start[i]), int(stop[i])
                     if (score := self._score(form, text[a:b])) is not None:
-                        found.append(Span(offset + a, offset + b, owner, score))
+                        which = owners[i]
+                        begin = int(ends[which]) - len(texts[which]) - 1
+                        found[which].append(Span(a - begin, b - begin, owner, score))
+        return [greedy(f) for f in found]
 
 
 def gaps(length: int, masked: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -49,8 +49,11 @@ def pattern_type(token):
     return F.coalesce(table[F.col(token) if isinstance(token, str) else token], F.lit("pattern"))
 
 
-def stages(options: Options, order: tuple[str, ...] = ("entity", "ssn", "patterns", "fuzzy", "context")) -> Callable[[str], tuple[str, list[dict]]]:
-    """The stages as one function of a byte text: (output, events).
+ORDER = ("entity", "ssn", "patterns", "fuzzy", "context")
+
+
+def stages_many(options: Options, order: tuple[str, ...] = ORDER) -> Callable[[list[str]], list[tuple[str, list[dict]]]]:
+    """The stages as one function of byte texts: (output, events) of each.
 
     Each stage reads what the one before wrote; its offsets are bytes of that text.
     """
@@ -63,37 +66,54 @@ def stages(options: Options, order: tuple[str, ...] = ("entity", "ssn", "pattern
     def event(stage, kind, start, end, to, confidence=None):
         return {"stage": stage, "match_type": kind, "offset": start, "field_path": None, "original_length": end - start, "replacement_type": to, "confidence": confidence}
 
-    def run(text: str) -> tuple[str, list[dict]]:
-        events = []
+    def entity(text: str):
+        spans = exact.find(text)
+        return exact.replace(text, spans), [event("entity_mask", "entity", s.start, s.end, "entity_alias") for s in spans]
+
+    def ssn(text: str):
+        if "-" not in text:
+            return text, []
+        return _SSN.sub("***-**-****", text), [event("ssn", "ssn", *m.span(), "mask") for m in _SSN.finditer(text)]
+
+    def scan(text: str):
+        found = scanner.find(text, options.flags)
+        return scanner.apply(text, found), [event("pattern_library", TOKEN_TYPES.get(m.token, "pattern"), m.redact, m.end, "pattern_token") for m in found]
+
+    def rules(text: str):
+        hits = context.find(text, options.context_threshold)
+        return context.apply(text, hits), [event("context", "context_rule", m.redact, m.end, m.token, m.confidence) for m in hits]
+
+    def fuzzy(text: str, spans: list[names.Span]):
+        out, last = [], 0
+        for s in spans:
+            out += [text[last : s.start], aliases[s.index]]
+            last = s.end
+        return "".join([*out, text[last:]]), [event("fuzzy_match", "entity_variant", s.start, s.end, "entity_alias", s.confidence) for s in spans]
+
+    on = {"entity": exact and entity, "ssn": options.ssn and ssn, "patterns": options.patterns and options.flags.any() and scan, "context": options.context and rules}
+
+    def run(texts: list[str]) -> list[tuple[str, list[dict]]]:
+        done = [(text, []) for text in texts]
         for stage in order:
-            if stage == "entity" and exact:
-                spans = exact.find(text)
-                events += [event("entity_mask", "entity", s.start, s.end, "entity_alias") for s in spans]
-                text = exact.replace(text, spans)
-            elif stage == "ssn" and options.ssn:
-                events += [event("ssn", "ssn", *m.span(), "mask") for m in _SSN.finditer(text)]
-                text = _SSN.sub("***-**-****", text)
-            elif stage == "patterns" and options.patterns and options.flags.any():
-                found = scanner.find(text, options.flags)
-                events += [event("pattern_library", TOKEN_TYPES.get(m.token, "pattern"), m.redact, m.end, "pattern_token") for m in found]
-                text = scanner.apply(text, found)
-            elif stage == "fuzzy" and near:
-                spans = near.find(text)
-                events += [event("fuzzy_match", "entity_variant", s.start, s.end, "entity_alias", s.confidence) for s in spans]
-                out, last = [], 0
-                for s in spans:
-                    out += [text[last : s.start], aliases[s.index]]
-                    last = s.end
-                text = "".join([*out, text[last:]])
-            elif stage == "context" and options.context:
-                hits = context.find(text, options.context_threshold)
-                events += [event("context", "context_rule", m.redact, m.end, m.token, m.confidence) for m in hits]
-                text = context.apply(text, hits)
-        return text, events
+            if stage == "fuzzy" and near:
+                found = near.find_many([text for text, _ in done])
+                steps = [fuzzy(text, spans) for (text, _), spans in zip(done, found, strict=True)]
+            elif step := on.get(stage):
+                steps = [step(text) for text, _ in done]
+            else:
+                continue
+            done = [(text, before + more) for (_, before), (text, more) in zip(done, steps, strict=True)]
+        return done
 
     return run
 
 
+def stages(options: Options, order: tuple[str, ...] = ORDER) -> Callable[[str], tuple[str, list[dict]]]:
+    """The stages as a function of one byte text."""
+    run = stages_many(options, order)
+    return lambda text: run([text])[0]
+
+
 def redact(df: DataFrame, column: str, options: Options, into: str = "redaction") -> DataFrame:
     """The rows with a struct column ``into``: output and events.  A null text has a null struct.
 
@@ -102,15 +122,14 @@ def redact(df: DataFrame, column: str, options: Options, into: str = "redaction"
     shared = df.sparkSession.sparkContext.broadcast(options)
 
     def build():
-        run = stages(shared.value)
+        run = stages_many(shared.value)
 
-        def work(text: str):
-            output, events = run(to_bytes(text))
-            return {"output": to_text(output), "events": events}
+        def work(texts: list[str]):
+            return [{"output": to_text(output), "events": found} for output, found in run([to_bytes(t) for t in texts])]
 
         return work
 
-    return arrow.with_column(df, column, into, f"struct<output: string, events: array<struct<{EVENT}>>>", build)
+    return arrow.with_column(df, column, into, f"struct<output: string, events: array<struct<{EVENT}>>>", build, batched=True)
 
 
 def redact_native(df: DataFrame, column: str, detectors: list[str], into: str = "output") -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes that one Arrow batch may hold, so that a Python worker's memory has a bound.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: ASCII white space of the word contracts: space and \x09 to \x0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 

@@ -40,9 +40,9 @@ SHARE = SIMILARITY / (1 + SIMILARITY)
 #: Coordinates of a signature, and how many make a band: a pair at 0.8 is missed once in 300,000.
 K, BAND = 96, 4
 #: Bytes of text that are worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Rows up to which a table of node keys (some 40 bytes each) is broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 #: Edges up to which components are found in one task (some 100 bytes each there).
 EDGES = 500_000
 
@@ -77,7 +77,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = _WORD[data]
     change = np.flatnonzero(word[1:] != word[:-1]) + 1
     start, end = change[::2], change[1::2]
-    up, down = _powers(1 << max(21, int(len(data)).bit_length()))
+    up, down = _powers(1 << max(20, int(len(data)).bit_length()))
     total = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])
     hashes = mix64((total[end - 1] - total[start - 1]) * down[start] + (end - start).astype(np.uint64))
     bounds = np.cumsum([1 + len(r) for r in raw])

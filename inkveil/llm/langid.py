@@ -26,7 +26,7 @@ from .common import map_rows
 #: Labelled documents that training may use, windows of each, bytes of a training window.
 DOCS, CROPS, CROP = 2400, 3, 96
 #: States of each direction; bytes and number of the windows that are labelled together.
-HIDDEN, WINDOW, LANES = 8, 128, 2048
+HIDDEN, WINDOW, LANES = 8, 128, 1024
 EPOCHS, BATCH, STEP = 10, 192, 0.02
 #: A document is rejected if its language has less than this share.
 ACCEPT = 0.3

@@ -37,6 +37,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Bytes up to which an input counts as small.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small input over all cores, since it may come as a single split.
+
+    Larger inputs have splits enough, and their texts aren't shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if cores > 1 and 0 < size <= SMALL else df
+
+
 def map_rows(df: DataFrame, columns: list[str], schema: str, step: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """Run a batch function over some columns; ``step()`` is built once in each task.
 
@@ -56,4 +70,4 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, step: Callable[[],
                 out = work({name: batch.column(name).to_pylist() for name in batch.schema.names})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return spread(df.select(*columns)).mapInArrow(run, schema)

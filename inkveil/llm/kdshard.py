@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread
 
 #: Bins of a histogram; the share of a node's weight below which a bin isn't cut further;
 #: the share up to which the copies of one text stay together.
@@ -40,7 +40,7 @@ def metadata(text: Column) -> list[Column]:
 def slim(docs: DataFrame) -> DataFrame:
     """doc_id, weight, crc, dimensions d0.., and the tie-break keys of each row, in a written table."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("place"))
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("place"))
     dims = [d.alias(f"d{i}") for i, d in enumerate(metadata(F.col("text")))]
     near = lambda c: F.shiftrightunsigned(c, 24).cast("double")
     return cut(rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), *dims, near(F.xxhash64("text")).alias("by_text"), near(F.xxhash64(F.lit(9), "place")).alias("by_row"), "place"))

@@ -17,9 +17,13 @@ repeated rows; long texts are scanned whole; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 # License families.  label | keyword of names | names | SPDX words | address
 # (all in words joined by single spaces; keyword: text that every name match holds)
 FAMILIES = """
@@ -132,7 +136,9 @@ def _literal(pattern: str) -> str:
 
 
 def _table() -> Column:
-    return F.array(*[F.struct(F.lit(label).alias("label"), F.lit(key).alias("key"), F.lit(pattern).alias("pattern"), F.lit(priority).alias("priority"), F.lit(score).alias("score")) for _, label, key, pattern, priority, score in rules()])
+    """The rules as one constant array."""
+    rows = [{"label": label, "key": key, "pattern": pattern, "priority": priority, "score": score} for _, label, key, pattern, priority, score in rules()]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<label: string, key: string, pattern: string, priority: int, score: double>>")
 
 
 def _intervals(norm: Column, rule: Column) -> Column:
@@ -172,7 +178,7 @@ def _surviving(intervals: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     low = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
-    rows = docs.select("doc_id", low.alias("low"))
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", low.alias("low"))
     n_words = F.regexp_count("low", F.lit(_WORD)).cast("long")
     norm = F.when(F.col("low").rlike(GATE), F.trim(F.regexp_replace("low", _APART, " ")))
     rows = rows.select("doc_id", n_words.alias("n_words"), norm.alias("norm"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, spread
 
 #: Bits of the hash that one round of histograms tells apart, and the most rounds.
 BITS, ROUNDS = 10, 4
@@ -106,7 +106,7 @@ def sized(docs: DataFrame, *more: str) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken, and ``copies``: how often each document is taken."""
-    slim = cut(sized(docs, "doc_id"))
+    slim = cut(sized(spread(docs.select("doc_id", "text", "source")), "doc_id"))
     return _plan(slim, weights, most).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 

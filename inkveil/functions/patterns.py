@@ -8,6 +8,8 @@ candidates need arithmetic take apart and rejoin the text with array functions.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,15 +51,19 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _replace(pattern: str, to: str, holds: str | None = None) -> Callable[[Column | str], Column]:
-    """A replacement; texts without ``holds``, which every match has, skip the expression."""
+def _gated(c: Column, done: Column, words: tuple[str, ...], part: str) -> Column:
+    """``done`` where a text holds one of the words (in any case) and the part; else the text as it is.
 
-    def replace(c: Column | str) -> Column:
-        c = _col(c)
-        done = F.regexp_replace(c, pattern, to)
-        return done if holds is None else F.when(F.contains(c, F.lit(holds)), done).otherwise(c)
+    Every match of the detector holds them, so most texts skip its expression.
+    """
+    low = F.lower(c)
+    tests = [reduce(or_, [F.contains(low, F.lit(w)) for w in words])] if words else []
+    tests += [c.rlike(part)] if part else []
+    return F.when(reduce(and_, tests), done).otherwise(c) if tests else done
 
-    return replace
+
+def _replace(pattern: str, to: str, words: tuple[str, ...] = (), part: str = "") -> Callable[[Column | str], Column]:
+    return lambda c: _gated(_col(c), F.regexp_replace(_col(c), pattern, to), words, part)
 
 
 def replace_valid(c: Column | str, pattern: str, valid: Callable[[Column], Column], token: str) -> Column:
@@ -72,20 +78,20 @@ def digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
-mask_ssn = _replace(SSN, "***-**-****", "-")
-redact_email = _replace(EMAIL, "[EMAIL_REDACTED]", "@")
-redact_ipv4 = _replace(IPV4, "[IPV4_REDACTED]")
-redact_mrn = _replace(MRN, "$1[MRN_REDACTED]")
-redact_insurance = _replace(INSURANCE, "$1[INSURANCE_REDACTED]")
-redact_icd10 = _replace(ICD10, "[ICD10_REDACTED]")
-redact_licence = _replace(LICENCE, "$1[DL_REDACTED]")
-redact_plate = _replace(PLATE, "$1[LICENSE_PLATE_REDACTED]")
-redact_url = _replace(URL, "[URL_REDACTED]")
+mask_ssn = _replace(SSN, "***-**-****", ("-",), "[0-9]-[0-9]")
+redact_email = _replace(EMAIL, "[EMAIL_REDACTED]", ("@",))
+redact_ipv4 = _replace(IPV4, "[IPV4_REDACTED]", (), "[0-9]\\.[0-9]")
+redact_mrn = _replace(MRN, "$1[MRN_REDACTED]", ("mrn", "mr#", "medical record", "patient id"))
+redact_insurance = _replace(INSURANCE, "$1[INSURANCE_REDACTED]", ("insurance id", "member id", "policy #", "group #"))
+redact_icd10 = _replace(ICD10, "[ICD10_REDACTED]", (), "[0-9]\\.")
+redact_licence = _replace(LICENCE, "$1[DL_REDACTED]", ("lic", "dl"))
+redact_plate = _replace(PLATE, "$1[LICENSE_PLATE_REDACTED]", ("plate", "tag"))
+redact_url = _replace(URL, "[URL_REDACTED]", ("://", "www."))
 redact_nino = _replace(NINO, "[UK_NINO_REDACTED]")
 redact_postcode = _replace(POSTCODE, "[POSTCODE_REDACTED]")
 redact_health_card = _replace(HEALTH_CARD, "[HEALTH_REDACTED]")
-redact_passport = _replace(PASSPORT, "$1[PASSPORT_REDACTED]")
-redact_intl_phone = _replace(INTL_PHONE, "[INTL_PHONE_REDACTED]", "+")
+redact_passport = _replace(PASSPORT, "$1[PASSPORT_REDACTED]", ("passport",))
+redact_intl_phone = _replace(INTL_PHONE, "[INTL_PHONE_REDACTED]", ("+",))
 
 
 def redact_zip(c: Column | str) -> Column:
@@ -95,7 +101,8 @@ def redact_zip(c: Column | str) -> Column:
 
 def redact_accounts(c: Column | str) -> Column:
     """Routing numbers, then account numbers; labels stay."""
-    return F.regexp_replace(F.regexp_replace(_col(c), ROUTING, "$1[ROUTING_REDACTED]"), ACCOUNT, "$1[ACCOUNT_REDACTED]")
+    c = _col(c)
+    return _gated(c, F.regexp_replace(F.regexp_replace(c, ROUTING, "$1[ROUTING_REDACTED]"), ACCOUNT, "$1[ACCOUNT_REDACTED]"), ("acc", "routing", "aba"), "")
 
 
 def redact_card(c: Column | str) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checksums, hashing, patterns, text
+from ..functions.arrow import spread
 from ..functions.register import FindPii, redact_context, redactor
 from ..functions.scanner import Flags
 from ..operators import audit, cache, entityset, guardrails, jsonrules, policy, vault
@@ -47,7 +48,7 @@ def scanned(name: str, table: str, key: str, source: str, flags: Flags, expected
     """The scanner over built texts; ``expected`` is what the rules say of them, in SQL over the table."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return read(spark, sf_dir, table).select(key, F.expr(source).alias("t")).select(key, redactor(flags)("t").alias("output"))
+        return spread(read(spark, sf_dir, table).select(key, F.expr(source).alias("t"))).select(key, redactor(flags)("t").alias("output"))
 
     add(name, query, f"SELECT {key}, {expected} AS output FROM {table}")
 

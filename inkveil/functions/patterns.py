@@ -62,6 +62,12 @@ def _gated(c: Column, done: Column, words: tuple[str, ...], part: str) -> Column
     return F.when(reduce(and_, tests), done).otherwise(c) if tests else done
 
 
+def count_matches(c: Column | str, pattern: str, holds: str) -> Column:
+    """Matches of a pattern as a bigint; texts without ``holds``, a plain part of every match, count 0."""
+    c = _col(c)
+    return F.when(c.rlike(holds), F.regexp_count(c, F.lit(pattern))).otherwise(0).cast("long")
+
+
 def _replace(pattern: str, to: str, words: tuple[str, ...] = (), part: str = "") -> Callable[[Column | str], Column]:
     return lambda c: _gated(_col(c), F.regexp_replace(_col(c), pattern, to), words, part)
 

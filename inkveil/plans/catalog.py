@@ -71,12 +71,12 @@ built("ssn_first_span", "customer", "c_custkey", _SSN_TEXT, lambda c: F.get(patt
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 add(
     "ipv4_count_by_lang",
-    lambda s, d: read(s, d, "documents").groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit(patterns.IPV4))).cast("long").alias("n")),
+    lambda s, d: read(s, d, "documents").groupBy("lang").agg(F.sum(patterns.count_matches("text", patterns.IPV4, "[0-9]\\.[0-9]")).alias("n")),
     f"SELECT lang, cast(sum(len(list_filter(regexp_extract_all(text, '[vV]?[0-9.]+'), lambda x: regexp_full_match(x, '({_OCTET}[.]){{3}}{_OCTET}')))) as bigint) AS n FROM documents GROUP BY lang",
 )
 add(
     "email_count_by_doc",
-    lambda s, d: read(s, d, "documents").select("doc_id", F.regexp_count("text", F.lit(patterns.EMAIL)).cast("long").alias("n")).where("n > 0"),
+    lambda s, d: read(s, d, "documents").select("doc_id", patterns.count_matches("text", patterns.EMAIL, "@").alias("n")).where("n > 0"),
     "SELECT * FROM (SELECT doc_id, cast(len(list_filter(regexp_extract_all(text, '[A-Za-z0-9.+_-]+@[A-Za-z0-9.-]+'), lambda x: regexp_full_match(x, '[A-Za-z0-9+_-]([A-Za-z0-9.+_-]*[A-Za-z0-9+_-])?@[A-Za-z0-9]([A-Za-z0-9-]*[.])([A-Za-z0-9-]+[.])*[A-Za-z]{2,}'))) as bigint) AS n FROM documents) WHERE n > 0",
 )
 _MAIL = "concat('To u', cast(user_id as string), '.x@mail', cast(event_id % 7 as string), '.example.com or a@@b.com, jane@host and q@b.', event_type)"

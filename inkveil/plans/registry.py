@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.patterns import EMAIL, IPV4, SSN
+from ..functions.patterns import EMAIL, IPV4, SSN, count_matches
 from .catalog import CATALOG, read
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Social security numbers, e-mail and IPv4 addresses in documents, by language."""
-    counts = [F.sum(F.regexp_count("text", F.lit(p))).cast("long").alias(n) for n, p in (("ssn", SSN), ("email", EMAIL), ("ipv4", IPV4))]
+    parts = (("ssn", SSN, "[0-9]-[0-9]"), ("email", EMAIL, "@"), ("ipv4", IPV4, "[0-9]\\.[0-9]"))
+    counts = [F.sum(count_matches("text", pattern, holds)).alias(name) for name, pattern, holds in parts]
     return read(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), *counts)
 
 

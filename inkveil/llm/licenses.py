@@ -107,7 +107,6 @@ FORMS = {
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Every rule's match holds one of these, so that other texts stop here.
 GATE = "licen|spdx|creativecommons|creative[^a-z0-9]+commons|cc0|cc[^a-z0-9]+by|public[^a-z0-9]*domain|gnu[^a-z0-9]|wtfpl|opensource|opendatacommons|apache|bsd|mozilla|eclipse|affero|eupl|libpng|boost|mariadb|no[^a-z0-9]+attribution|data[^a-z0-9]+commons|sil[^a-z0-9]+org"
-_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _APART = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -179,9 +178,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     low = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
     rows = spread(docs.select("doc_id", "text")).select("doc_id", low.alias("low"))
-    n_words = F.regexp_count("low", F.lit(_WORD)).cast("long")
-    norm = F.when(F.col("low").rlike(GATE), F.trim(F.regexp_replace("low", _APART, " ")))
-    rows = rows.select("doc_id", n_words.alias("n_words"), norm.alias("norm"))
+    rows = rows.select("doc_id", "low", F.trim(F.regexp_replace("low", _APART, " ")).alias("words"))
+    n_words = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1)
+    rows = rows.select("doc_id", n_words.cast("long").alias("n_words"), F.when(F.col("low").rlike(GATE), F.col("words")).alias("norm"))
     phrase = f"(?<![^ ])(?:{'|'.join(BASE)})(?![^ ])"
     places = F.when(F.col("norm").isNotNull(), F.regexp_extract_all("norm", F.lit(phrase), F.lit(0)))
     hits = F.filter(_table(), lambda r: F.contains(F.col("norm"), r["key"]))

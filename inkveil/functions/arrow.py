@@ -21,7 +21,7 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 #: Bytes up to which an input counts as small.
-SMALL = 64 << 20
+SMALL = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:

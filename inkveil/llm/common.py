@@ -38,7 +38,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Bytes up to which an input counts as small.
-SMALL = 64 << 20
+SMALL = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:

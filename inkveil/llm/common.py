@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -47,15 +48,17 @@ def spread(df: DataFrame) -> DataFrame:
     Larger inputs have splits enough, and their texts aren't shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    told = re.match(r"sizeInBytes=([0-9.E+]+) (B|KiB|MiB)\b", df._jdf.queryExecution().optimizedPlan().stats().simpleString())
+    size = float(told[1]) * {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20}[told[2]] if told else float("inf")
     return df.repartition(cores) if cores > 1 and 0 < size <= SMALL else df
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: str, step: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], schema: str, step: Callable[[], Callable[[dict[str, list]], dict[str, list]]], deal: bool = True) -> DataFrame:
     """Run a batch function over some columns; ``step()`` is built once in each task.
 
     Only ``columns`` reach Python, so other columns, whatever their names, do no harm.
-    The function gets lists by column name and returns lists by output name.
+    The function gets lists by column name and returns lists by output name.  ``deal``:
+    a small input is dealt over all cores, which what comes from a join doesn't need.
     """
     bounded_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -70,4 +73,5 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, step: Callable[[],
                 out = work({name: batch.column(name).to_pylist() for name in batch.schema.names})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return spread(df.select(*columns)).mapInArrow(run, schema)
+    rows = df.select(*columns)
+    return (spread(rows) if deal else rows).mapInArrow(run, schema)

@@ -219,7 +219,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").withColumn("node", _node())
     wanted = nodes.select("nid", F.col("node").alias("want"), F.col("first_doc"))
     one = texts.join(_small(wanted, count), (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("nid", "text")
-    return cut(map_rows(one, ["nid", "text"], "nid long, n int, shingles array<long>", step))
+    return cut(map_rows(one, ["nid", "text"], "nid long, n int, shingles array<long>", step, deal=False))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     alike = (F.col("na") >= SIMILARITY * F.col("nb") - 1e-9) & (F.col("nb") >= SIMILARITY * F.col("na") - 1e-9)
     slim = pairs.join(na, "a").join(nb, "b").where(alike).select("a", "b")
     left, right = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("nid").alias("b"), F.col("shingles").alias("right"))
-    return map_rows(slim.join(left, "a").join(right, "b"), ["a", "b", "left", "right"], "a long, b long", step)
+    return map_rows(slim.join(left, "a").join(right, "b"), ["a", "b", "left", "right"], "a long, b long", step, deal=False)
 
 
 def _union(edges: DataFrame) -> DataFrame:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import repeat
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from ..functions.arrow import bound_batches
 
 CAPACITY, TTL_MS = 256, 300_000
 LIMIT, WINDOW_MS = 60, 60_000
@@ -68,19 +75,37 @@ def replay(requests: DataFrame, capacity: int = CAPACITY, ttl_ms: int = TTL_MS,
 def rate_limited(events: DataFrame, ts_ms: str, by: list[str], limit: int = LIMIT) -> DataFrame:
     """Events with ``allowed``: at most ``limit`` in a window of a minute that the first event opens.
 
-    Windows start at events, so the state runs through each group's times in order; only
-    the times are gathered, as an array of each group.
+    Windows start at events, so the state runs through each group's events in order of time.
+    They are sorted by Spark, which can spill, and pass in bounded batches; between them only
+    the group, its window's start and a count are held.  Events without a time are in no
+    window: their verdict is null.
     """
     if limit == 0:
         return events.withColumn("allowed", F.lit(True))
-    order = F.row_number().over(W.partitionBy(*by).orderBy(ts_ms))
-    rows = events.withColumn("_n", order)
-    first = F.struct(F.lit(None).cast("long").alias("start"), F.lit(0).alias("count"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(acc, t):
-        fresh = acc["start"].isNull() | (t - acc["start"] >= WINDOW_MS)
-        count = F.when(fresh, 0).otherwise(acc["count"])
-        return F.struct(F.when(fresh, t).otherwise(acc["start"]).alias("start"), (count + (count < limit).cast("int")).alias("count"), F.concat(acc["ok"], F.array(count < limit)).alias("ok"))
-
-    verdicts = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.col(ts_ms).cast("long"))).alias("_t")).select(*by, F.posexplode(F.aggregate("_t", first, step, lambda acc: acc["ok"])).alias("_i", "allowed"))
-    return rows.join(verdicts.withColumn("_n", F.col("_i") + 1), [*by, "_n"]).drop("_n", "_i")
+    bound_batches(events.sparkSession)
+    schema = StructType([*events.schema.fields, *StructType.fromDDL("allowed boolean").fields])
+    arrow = to_arrow_schema(schema)
+    places = [events.columns.index(name) for name in by]
+    time = "_t"
+    while time in events.columns:
+        time += "_"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, start, count = None, 0, 0
+        for batch in batches:
+            allowed: list[bool | None] = []
+            keys = zip(*(batch.column(i).to_pylist() for i in places), strict=True) if places else repeat((), batch.num_rows)
+            for key, t in zip(keys, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if t is None:
+                    allowed.append(None)
+                    continue
+                if key != group or t - start >= WINDOW_MS:
+                    group, start, count = key, t, 0
+                allowed.append(count < limit)
+                count += count < limit
+            columns = [*batch.columns[:-1], pa.array(allowed, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    rows = events.withColumn(time, F.col(ts_ms).cast("long"))
+    dealt = rows.repartition(*by) if by else rows.coalesce(1)
+    return dealt.sortWithinPartitions(*by, time).mapInArrow(run, schema)

@@ -550,12 +550,14 @@ def _replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("cache_replay", _replay, "SELECT event_type AS tenant, CASE WHEN r = 1 THEN 'miss' ELSE 'hit' END AS result, count(*) AS n FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS r FROM events) GROUP BY 1, 2")
 
 
-def _rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rate(spark: SparkSession, sf_dir: str, users: str = "true") -> DataFrame:
     rows = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 3 * 1000 + F.col("event_id") % 1000 * 90_000).cast("long").alias("ms"))
-    return cache.rate_limited(rows.where("user_id % 10 = 0"), "ms", ["user_id"], 2).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("allowed").cast("long")).alias("allowed"))
+    return cache.rate_limited(rows.where(users), "ms", ["user_id"], 2).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("allowed").cast("long")).alias("allowed"))
 
 
-add("rate_limited", _rate, "SELECT user_id, cast(sum(k) as bigint) AS n, cast(sum(least(k, 2)) as bigint) AS allowed FROM (SELECT user_id, event_id % 1000 AS w, count(*) AS k FROM events WHERE user_id % 10 = 0 GROUP BY 1, 2) GROUP BY user_id")
+# rate_limited is held to its SQL, which has every tenth user; rate_limited_all is the whole table.
+add("rate_limited", lambda s, d: _rate(s, d, "user_id % 10 = 0"), "SELECT user_id, cast(sum(k) as bigint) AS n, cast(sum(least(k, 2)) as bigint) AS allowed FROM (SELECT user_id, event_id % 1000 AS w, count(*) AS k FROM events WHERE user_id % 10 = 0 GROUP BY 1, 2) GROUP BY user_id")
+add("rate_limited_all", _rate, "SELECT user_id, cast(sum(k) as bigint) AS n, cast(sum(least(k, 2)) as bigint) AS allowed FROM (SELECT user_id, event_id % 1000 AS w, count(*) AS k FROM events GROUP BY 1, 2) GROUP BY user_id")
 add("table_function", lambda s, d: (F.udtf(FindPii, returnType="start: int, end: int, redact_start: int, token: string")(F.lit("a@b.org from 10.0.0.1"), F.lit("email,ip"), F.lit("us"))).select(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "token"), "SELECT * FROM (VALUES (cast(0 as bigint), cast(7 as bigint), '[EMAIL_REDACTED]'), (13, 21, '[IPV4_REDACTED]')) v(\"start\", \"end\", token)")
 
 # ---------------------------------------------------------------- spans and near matches

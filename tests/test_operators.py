@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from inkveil.functions.scanner import Flags
 from inkveil.operators import cache, guardrails, jsonrules, policy, vault
 from inkveil.operators.jsonrules import InvalidJson, walk
-from inkveil.plans import accuracy, profiles, redaction
+from inkveil.plans import accuracy, profiles, redaction, registry
 from inkveil.plans.redaction import Options
 from inkveil.sources import entities, io, rules
 
@@ -121,6 +121,33 @@ def test_rate_limit_windows_start_at_events(spark):
     assert cache.rate_limited(spark.createDataFrame([("u", 1)], "u string, t long"), "t", ["u"], 0).first().allowed
 
 
+def brute_limiter(rows, limit):
+    state, out = {}, []
+    for i, key, t in sorted(rows, key=lambda r: r[2]):
+        start, count = state.get(key, (None, 0))
+        if start is None or t - start >= 60_000:
+            start, count = t, 0
+        out.append((i, count < limit))
+        state[key] = start, count + (count < limit)
+    return sorted(out)
+
+
+def test_rate_limit_hot_user(spark):
+    """A user with most of the events, over many batches, and two keys that may be null."""
+    rows = [(i, "hot" if i % 10 else f"u{i % 70}" if i % 20 else None, i * 977 % 4_000_037) for i in range(60_000)]
+    events = spark.createDataFrame(rows, "i long, u string, t long").withColumn("w", F.lit(1)).repartition(5)
+    plan = cache.rate_limited(events, "t", ["u", "w"], 3)
+    assert "collect_list" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.i, r.allowed) for r in plan.select("i", "allowed").collect()) == brute_limiter(rows, 3)
+
+
+def test_rate_limit_query_has_every_user(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r.user_id: r.n for r in registry.queries()["rate_limited_all"](spark, sf).collect()}
+    want = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()
+    assert got == {r["user_id"]: r["count"] for r in want}
+
+
 def test_cache_replay(spark):
     asked = [("t", 1, 0, "a"), ("t", 2, 1, "b"), ("t", 3, 2, "a"), ("t", 4, 3, "c"), ("t", 5, 4, "b"), ("t", 6, 400_000, "b")]
     got = cache.replay(spark.createDataFrame(asked, "tenant string, seq long, now_ms long, key_hex string"), capacity=2).orderBy("seq").collect()

@@ -202,7 +202,11 @@ def _small(df: DataFrame, n: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(nid, n, shingles): sorted distinct shingle hashes of one document of each wanted node."""
+    """(nid, n, shingles): sorted distinct shingle hashes of one document of each wanted node.
+
+    Nodes marked ``again``, of which several rows have the first doc_id, keep one of these;
+    the texts of the others aren't shuffled for this.
+    """
 
     def step():
         def work(rows):
@@ -217,8 +221,15 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     count = nodes.count()
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").withColumn("node", _node())
-    wanted = nodes.select("nid", F.col("node").alias("want"), F.col("first_doc"))
-    one = texts.join(_small(wanted, count), (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("nid", "text")
+    again = nodes.where("again").count()
+
+    def first(wanted: DataFrame, n: int) -> DataFrame:
+        wanted = _small(wanted.select("nid", F.col("node").alias("want"), "first_doc"), n)
+        return texts.join(wanted, (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("nid", "text")
+
+    one = first(nodes.where("not again") if again else nodes, count - again)
+    if again:
+        one = one.unionByName(first(nodes.where("again"), again).dropDuplicates(["nid"]))
     return cut(map_rows(one, ["nid", "text"], "nid long, n int, shingles array<long>", step, deal=False))
 
 
@@ -315,8 +326,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = nodes.select("nid", F.explode("bands").alias("bucket"))
     heads = members.groupBy("bucket").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = cut(members.join(heads, "bucket").select("bucket", "nid", "head"))
-    wanted = nodes.join(members.select("nid").dropDuplicates(), "nid", "left_semi").select("nid", "node", "first_doc")
-    wanted = cut(wanted)
+    wanted = nodes.join(members.select("nid").dropDuplicates(), "nid", "left_semi").select("nid", "node", "first_doc", "copies")
+    wanted = cut(_repeated(wanted, rows))
     sets = _sets(docs, wanted)
     sizes = cut(sets.select("nid", "n"))
     labels = wanted.select("nid", F.col("nid").alias("comp"))
@@ -347,6 +358,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.select("doc_id", "node"), cut(known)
 
 
+def _repeated(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """(nid, node, first_doc, again): whether several rows of the node have its first doc_id."""
+    copied = wanted.where("copies > 1").select("nid", F.col("node").alias("want"), "first_doc")
+    same = rows.select("doc_id", "node").join(copied, (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
+    many = same.groupBy("nid").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("nid", F.lit(True).alias("again"))
+    return wanted.join(many, "nid", "left").select("nid", "node", "first_doc", F.coalesce("again", F.lit(False)).alias("again"))
+
+
 def _possible(members: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
     """Where the members (bucket, nid) may still reach SIMILARITY: (bucket, nid, n, u) by shingle.
 

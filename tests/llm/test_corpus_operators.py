@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from inkveil.llm import dartminhash, flac, kdshard, mix
@@ -129,6 +130,26 @@ def test_large_group_with_several_classes(spark):
     assert got == brute_classes(rows)
 
 
+def repeated_rows(groups, copies):
+    """Buckets of several classes: many texts near B and C but not alike; B and C are, and repeat."""
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}w{i}" for i in range(104)]
+        texts = [base[:94] + [f"g{g}a{n}x{i}" for i in range(24)] for n in range(60)] + [base, base[:94] + [f"g{g}c{i}" for i in range(10)]]
+        for n, words in enumerate(texts):
+            rows += [(len(rows), " ".join(words))] * (copies if n >= 60 else 1)
+    return rows
+
+
+@pytest.mark.parametrize("copies", [2, 3])
+def test_repeated_rows_in_a_bucket_of_several_classes(spark, copies):
+    rows = repeated_rows(6, copies)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in dartminhash.dedup(docs).collect()} == brute_classes(rows)
+    want = len(set(brute_classes(list(dict(rows).items())).values()))
+    assert dartminhash.keep_one(docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))).count() == want
+
+
 def test_joins_instead_of_broadcasts(spark, monkeypatch):
     rows = near_copies(random.Random(3), 15)
     monkeypatch.setattr(dartminhash, "BROADCAST_ROWS", 0)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import repeat
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,30 +45,36 @@ def replay(requests: DataFrame, capacity: int = CAPACITY, ttl_ms: int = TTL_MS,
     """Requests (group, seq, now_ms, key_hex) replayed in order against an LRU cache of each group.
 
     A miss stores its key; time runs from creation and hits don't renew it.  The state of a
-    group is sequential, so a group's requests meet in one task, a bounded batch at a time.
+    group is sequential, so a group's requests meet in one task.  Spark sorts them, and they
+    pass in bounded batches; between these only one group's cache is held.
     """
+    bound_batches(requests.sparkSession)
+    schema = StructType([*requests.schema.fields, *StructType.fromDDL("result string").fields])
+    arrow = to_arrow_schema(schema)
+    places = [requests.columns.index(name) for name in (group, "key_hex", "now_ms")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, store = None, {}
+        for batch in batches:
+            out = []
+            for of, key, now in zip(*(batch.column(i).to_pylist() for i in places), strict=True):
+                if of != owner:
+                    owner, store = of, {}
+                entry = store.get(key)
+                if entry and now - entry[0] <= ttl_ms:
+                    entry[1] = now
+                    out.append("hit")
+                    continue
+                if entry is None and len(store) >= capacity:
+                    store.pop(min(store, key=lambda k: (store[k][1], k)))
+                    out.append("miss_evict")
+                else:
+                    out.append("miss")
+                store[key] = [now, now]
+            columns = [*batch.columns, pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        store: dict[str, list[int]] = {}
-        out = []
-        for key, now in zip(pdf["key_hex"], pdf["now_ms"], strict=True):
-            entry = store.get(key)
-            if entry and now - entry[0] <= ttl_ms:
-                entry[1] = now
-                out.append("hit")
-                continue
-            if entry is None and len(store) >= capacity:
-                store.pop(min(store, key=lambda k: (store[k][1], k)))
-                out.append("miss_evict")
-            else:
-                out.append("miss")
-            store[key] = [now, now]
-        return pdf.assign(result=out)
-
-    names = [*requests.columns, "result"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", result string"
-    return requests.groupBy(group).applyInPandas(run, schema).select(*names)
+    return requests.repartition(group).sortWithinPartitions(group, F.asc_nulls_last("seq")).mapInArrow(run, schema)
 
 
 def rate_limited(events: DataFrame, ts_ms: str, by: list[str], limit: int = LIMIT) -> DataFrame:

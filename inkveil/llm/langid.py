@@ -30,6 +30,8 @@ HIDDEN, WINDOW, LANES = 8, 128, 1024
 EPOCHS, BATCH, STEP = 10, 192, 0.02
 #: A document is rejected if its language has less than this share.
 ACCEPT = 0.3
+#: Values of lang that can be learned; more of them are an error.
+LANGUAGES = 1000
 PAD = 256
 _FOLD = np.arange(257, dtype=np.int32)
 _FOLD[65:91] += 32
@@ -222,7 +224,9 @@ def learn(docs: DataFrame, docs_most: int = DOCS, seed: int = 5) -> Network | No
     share, so what reaches the driver has the size of the sample, not of the corpus.
     """
     labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang: some languages would never be learned")
     if not counts:
         return None
     languages = sorted(r["lang"] for r in counts)

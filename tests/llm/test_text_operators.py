@@ -290,3 +290,10 @@ def test_license_labels(spark):
 def test_license_is_native(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_too_many_languages_fail(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2, raising=False)
+    docs = spark.createDataFrame([(i, "some words", f"l{i % 3}") for i in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 2"):
+        langid.learn(docs)

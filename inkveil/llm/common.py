@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold, so that a Python worker's memory has a bound.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: Bytes that one partition of a table between steps holds about.
+PART_BYTES = 8 << 20
 #: ASCII white space of the word contracts: space and \x09 to \x0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -26,39 +27,65 @@ def bounded_batches(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the session names.
 
-    A folder is set here only where the session has none, which is so in tests alone.
+    The shuffle files behind it, which nothing reads any more, are dropped once it is written.
     """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(key, before)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session or its context."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+    return folder
+
+
+def counted(df: DataFrame, row_bytes: int) -> tuple[DataFrame, int]:
+    """``cut`` with the number of rows, counted as they are written.
+
+    Rows of about row_bytes each come back in partitions of about PART_BYTES, if that needs
+    no shuffle, so that a small table doesn't keep a task and shuffle files for each of the
+    partitions it was made in.
+    """
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    rows = seen.get.get("rows", 0)
     context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return out.coalesce(max(1, min(context.defaultParallelism, -(-rows // 1000)), -(-rows * row_bytes // PART_BYTES))), rows
 
 
-#: Bytes up to which an input counts as small.
-SMALL = 8 << 20
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` wrote and nothing reads any more."""
+    for table in tables:
+        plan, jvm = table._jdf.queryExecution().analyzed(), table.sparkSession._jvm
+        while plan.children().size():
+            plan = plan.children().head()
+        if (told := plan.rdd().getCheckpointFile()).isDefined():
+            path = jvm.org.apache.hadoop.fs.Path(told.get())
+            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal a small input over all cores, since it may come as a single split.
-
-    Larger inputs have splits enough, and their texts aren't shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    told = re.match(r"sizeInBytes=([0-9.E+]+) (B|KiB|MiB)\b", df._jdf.queryExecution().optimizedPlan().stats().simpleString())
-    size = float(told[1]) * {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20}[told[2]] if told else float("inf")
-    return df.repartition(cores) if cores > 1 and 0 < size <= SMALL else df
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table; one of fewer splits than cores is dealt over the cores (tables that are one small file)."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def map_rows(df: DataFrame, columns: list[str], schema: str, step: Callable[[], Callable[[dict[str, list]], dict[str, list]]], deal: bool = True) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[str], schema: str, step: Callable[[], Callable[[dict[str, list]], dict[str, list]]]) -> DataFrame:
     """Run a batch function over some columns; ``step()`` is built once in each task.
 
     Only ``columns`` reach Python, so other columns, whatever their names, do no harm.
-    The function gets lists by column name and returns lists by output name.  ``deal``:
-    a small input is dealt over all cores, which what comes from a join doesn't need.
+    The function gets lists by column name and returns lists by output name.
     """
     bounded_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -73,5 +100,4 @@ def map_rows(df: DataFrame, columns: list[str], schema: str, step: Callable[[],
                 out = work({name: batch.column(name).to_pylist() for name in batch.schema.names})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    rows = df.select(*columns)
-    return (spread(rows) if deal else rows).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(run, schema)

@@ -8,13 +8,15 @@ falls into the regions of its elements: [0, weight) x [0, limit), with the limit
 that K ln K + 2K darts are expected however long the text is.  Two texts keep the same
 dart in a coordinate with the probability of their weighted Jaccard similarity.
 
-Equal texts are one node.  Nodes that share a band are compared exactly (Jaccard >= 0.8),
-first with their band's smallest member.  In bands whose members are still in several
-classes, shingles that one member alone has bound what it can share with any other: members
-and pairs that the bound rules out go without being compared.  The others meet where they
-share one of their rarest shingles, as similar texts must: 8, 32, 128 ... of a shingle's
-members at a time, until every pair of different classes has been compared, ruled out or
-joined.  Pairs inside a class are never emitted.
+Equal texts are one node, known by its digest.  Nodes that share a band meet the band's
+smallest member: a sketch of the signature (four bits a coordinate) turns most unlike pairs
+away before any set moves, and the rest are compared exactly (Jaccard >= 0.8).  Where the
+other members of a band are still in several classes, their rarest shingles take the place
+of the bands: two texts that reach 0.8 share one of the 20 % rarest of each, and shingles
+that one text alone has bound what it can share with any other.  The members of a shingle
+get a hashed rank below their number; those below 8, then 32, 128 ... meet all that rank
+above them, until every pair of different classes was compared, ruled out or joined.  So a
+group of copies is neither gathered in one task nor paired with itself.
 
 Null texts are never linked; texts without a word are linked only to equal texts; texts of
 one to four words are one shingle; repeated rows share a class; an empty table gives an
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
+from .common import counted, cut, map_rows, release
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: What two texts at SIMILARITY share, as a part of the sum of their sizes.
@@ -41,8 +43,13 @@ SHARE = SIMILARITY / (1 + SIMILARITY)
 K, BAND = 96, 4
 #: Bytes of text that are worked on at a time.
 CHUNK = 1 << 19
-#: Rows up to which a table of node keys (some 40 bytes each) is broadcast.
+#: Most coordinates in which the sketches of a pair at SIMILARITY differ: 18 are expected,
+#: more than 40 of 96 differ once in 17 million (the sum of the binomial's tail).
+SKETCH_APART = 40
+#: Rows up to which a table of node keys (some 60 bytes each) is broadcast, by its counted size.
 BROADCAST_ROWS = 250_000
+#: Members of a shingle that lead in the first round; each further round has four times as many.
+LEADERS = 8
 #: Edges up to which components are found in one task (some 100 bytes each there).
 EDGES = 500_000
 
@@ -161,6 +168,14 @@ def bands(signature: np.ndarray, width: int = BAND) -> np.ndarray:
     return value
 
 
+def sketch(signature: np.ndarray) -> np.ndarray:
+    """Four hashed bits of each coordinate, sixteen coordinates in a 64-bit integer."""
+    bits = mix64(signature) >> np.uint64(60)
+    rows, k = bits.shape
+    shift = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return (bits.reshape(rows, k // 16, 16) << shift).sum(2, dtype=np.uint64)
+
+
 def _groups(texts: list[str]):
     """Runs of texts of about CHUNK bytes."""
     first, size = 0, 0
@@ -173,88 +188,102 @@ def _groups(texts: list[str]):
         yield first, len(texts)
 
 
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    out = []
+    for a, b in _groups(texts):
+        element, owner = shingles(texts[a:b])
+        ends = np.searchsorted(owner, np.arange(b - a + 1))
+        out += [np.unique(element[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+    return out
+
+
 def _node() -> F.Column:
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (digest of the text), n (shingles with repeats), bands of every document with a text."""
+    """doc_id, node (digest of the text), n (distinct shingles), bands and sketch of every document with a text."""
 
     def step():
         def work(rows):
-            texts, n, out = rows["text"], [], []
+            texts, n, found, drawn = rows["text"], [], [], []
             for a, b in _groups(texts):
-                element, owner = shingles(texts[a:b])
-                count = np.bincount(owner, minlength=b - a)
-                found = bands(dart_signature(element, None, owner, b - a)).view(np.int64)
+                sets = shingle_sets(texts[a:b])
+                count = np.array([len(x) for x in sets])
+                signature = dart_signature(np.concatenate(sets), None, np.repeat(np.arange(b - a), count), b - a)
                 n += count.tolist()
-                out += [row if c else [] for row, c in zip(found, count.tolist(), strict=True)]
-            return {"doc_id": rows["doc_id"], "node": rows["node"], "n": n, "bands": out}
+                found += [row if c else [] for row, c in zip(bands(signature).view(np.int64), count, strict=True)]
+                drawn += list(sketch(signature).view(np.int64))
+            return {"doc_id": rows["doc_id"], "node": rows["node"], "n": n, "bands": found, "sketch": drawn}
 
         return work
 
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").withColumn("node", _node())
-    return map_rows(rows, ["doc_id", "node", "text"], "doc_id long, node binary, n int, bands array<long>", step)
+    return map_rows(rows, ["doc_id", "node", "text"], "doc_id long, node binary, n int, bands array<long>, sketch array<long>", step)
 
 
 def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(nid, n, shingles): sorted distinct shingle hashes of one document of each wanted node.
+def _sets(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """(nid, shingles): sorted distinct shingle hashes of one document of each wanted node.
 
-    Nodes marked ``again``, of which several rows have the first doc_id, keep one of these;
-    the texts of the others aren't shuffled for this.
+    Of copied texts the first doc_id's row is taken, and one of these if it repeats; the
+    texts of other nodes, nearly all, aren't shuffled for that.
     """
 
     def step():
         def work(rows):
-            texts, out = rows["text"], []
-            for a, b in _groups(texts):
-                element, owner = shingles(texts[a:b])
-                ends = np.searchsorted(owner, np.arange(b - a + 1))
-                out += [np.unique(element[i:j]).view(np.int64) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-            return {"nid": rows["nid"], "n": [len(x) for x in out], "shingles": out}
+            return {"nid": rows["nid"], "shingles": [x.view(np.int64) for x in shingle_sets(rows["text"])]}
 
         return work
 
-    count = nodes.count()
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").withColumn("node", _node())
-    again = nodes.where("again").count()
+    wanted = _small(nodes.select("nid", F.col("node").alias("want"), "first_doc", "copies"), count)
+    found = texts.join(wanted, (F.col("node") == F.col("want")) & ((F.col("copies") == 1) | F.col("doc_id").eqNullSafe(F.col("first_doc"))))
+    one = found.where("copies = 1").select("nid", "text").unionByName(found.where("copies > 1").select("nid", "text").dropDuplicates(["nid"]))
+    return map_rows(one, ["nid", "text"], "nid long, shingles array<long>", step)
 
-    def first(wanted: DataFrame, n: int) -> DataFrame:
-        wanted = _small(wanted.select("nid", F.col("node").alias("want"), "first_doc"), n)
-        return texts.join(wanted, (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("nid", "text")
 
-    one = first(nodes.where("not again") if again else nodes, count - again)
-    if again:
-        one = one.unionByName(first(nodes.where("again"), again).dropDuplicates(["nid"]))
-    return cut(map_rows(one, ["nid", "text"], "nid long, n int, shingles array<long>", step, deal=False))
+def _apart() -> F.Column:
+    """In how many coordinates the sketches sa and sb differ."""
+    parts = []
+    for i in range(K // 16):
+        x = F.col("sa")[i].bitwiseXOR(F.col("sb")[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        parts.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
+    return sum(parts[1:], parts[0])
 
 
-def _links(pairs: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose Jaccard similarity reaches SIMILARITY."""
+def _links(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, nodes: int) -> DataFrame:
+    """(u, v): the labels (ca, cb) of distinct pairs (a, b) whose Jaccard similarity reaches SIMILARITY.
+
+    Sketches turn pairs away first.  Of those left b's set moves once for each partner; a's,
+    which may lead thousands of pairs, moves once a task that has such pairs.
+    """
 
     def step():
         def work(rows):
-            a, b = [], []
-            for x, y, left, right in zip(rows["a"], rows["b"], rows["left"], rows["right"], strict=True):
+            u, v = [], []
+            for x, y, left, right in zip(rows["ca"], rows["cb"], rows["left"], rows["right"], strict=True):
                 p, q = np.array(left, np.int64).view(np.uint64), np.array(right, np.int64).view(np.uint64)
                 at = np.searchsorted(q, p)
                 both = int((q[np.minimum(at, len(q) - 1)] == p).sum())
                 if both >= SIMILARITY * (len(p) + len(q) - both) - 1e-9:
-                    a.append(x)
-                    b.append(y)
-            return {"a": a, "b": b}
+                    u.append(max(x, y))
+                    v.append(min(x, y))
+            return {"u": u, "v": v}
 
         return work
 
-    na, nb = sizes.select(F.col("nid").alias("a"), F.col("n").alias("na")), sizes.select(F.col("nid").alias("b"), F.col("n").alias("nb"))
-    alike = (F.col("na") >= SIMILARITY * F.col("nb") - 1e-9) & (F.col("nb") >= SIMILARITY * F.col("na") - 1e-9)
-    slim = pairs.join(na, "a").join(nb, "b").where(alike).select("a", "b")
+    known = _small(sketches.select(F.col("nid").alias("a"), F.col("sketch").alias("sa")), nodes), _small(sketches.select(F.col("nid").alias("b"), F.col("sketch").alias("sb")), nodes)
+    near = pairs.join(known[0], "a").join(known[1], "b").where(_apart() <= SKETCH_APART).select("a", "b", "ca", "cb")
     left, right = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("nid").alias("b"), F.col("shingles").alias("right"))
-    return map_rows(slim.join(left, "a").join(right, "b"), ["a", "b", "left", "right"], "a long, b long", step, deal=False)
+    both = near.join(right, "b").join(left, "a")
+    return map_rows(both, ["ca", "cb", "left", "right"], "u long, v long", step).where("u <> v").dropDuplicates()
 
 
 def _union(edges: DataFrame) -> DataFrame:
@@ -302,98 +331,127 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(nid, comp): the smallest node of each connected component; isolated nodes have no row.
+    """(nid, comp): the smallest node of each connected component of the edges (a, b);
+    isolated nodes have no row."""
+    ends = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return _components(*counted(ends.dropDuplicates(), 16), most)[0]
+
 
-    Up to ``most`` edges (counted; EDGES if not given) meet in one task, which they fit
-    easily; more go through stars.  Both give the same rows.
+def _components(edges: DataFrame, n: int, most: int | None = None) -> tuple[DataFrame, int]:
+    """(nid, comp) and its number of rows, for n written edges (u, v) with u > v.
+
+    Up to ``most`` edges (EDGES if not given) meet in one task, which they fit easily; more
+    go through stars.  Both give the same rows.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).dropDuplicates())
-    return _union(edges) if edges.count() <= (EDGES if most is None else most) else _stars(edges)
+    return counted(_union(edges) if n <= (EDGES if most is None else most) else _stars(edges), 16)
+
+
+def _close(a: str, b: str) -> F.Column:
+    """Whether sets of these sizes can reach SIMILARITY."""
+    return (F.col(a) >= SIMILARITY * F.col(b) - 1e-9) & (F.col(b) >= SIMILARITY * F.col(a) - 1e-9)
 
 
-def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (nid, comp) after links between labels were added."""
-    moved = components(links).select(F.col("nid").alias("comp"), F.col("comp").alias("to"))
-    return labels.join(moved, "comp", "left").select("nid", F.coalesce("to", "comp").alias("comp"))
+def _classed(rows: DataFrame, comps: DataFrame, n: int, label: str) -> DataFrame:
+    """Rows with their label's component as comp, or the label itself where it is not linked."""
+    moved = _small(comps.select(F.col("nid").alias("_was"), F.col("comp").alias("_to")), n)
+    joined = rows.join(moved, F.col(label) == F.col("_was"), "left")
+    return joined.withColumns({"comp": F.coalesce("_to", label), "linked": F.col("_to").isNotNull()}).drop("_was", "_to")
 
 
-def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, nodes): rows(doc_id, node) of documents with a text, and for every node that
-    isn't alone its class: nodes(node, first_doc, copies, class_id, keeper)."""
+def _mixed(members: DataFrame, above: int = 0) -> DataFrame:
+    """(bucket, size): the buckets of more than ``above`` members, of several classes."""
+    classes_ = members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size"))
+    return classes_.where((F.col("x") != F.col("y")) & (F.col("size") > above)).select("bucket", "size")
+
+
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(rows, nodes, count): rows(doc_id, node) of documents with a text; for every node that
+    isn't alone its class, nodes(node, first_doc, copies, class_id, keeper), and their count."""
     rows = cut(signed(docs))
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    nodes = cut(nodes.withColumn("nid", F.monotonically_increasing_id()))
-    members = nodes.select("nid", F.explode("bands").alias("bucket"))
-    heads = members.groupBy("bucket").agg(F.min("nid").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = cut(members.join(heads, "bucket").select("bucket", "nid", "head"))
-    wanted = nodes.join(members.select("nid").dropDuplicates(), "nid", "left_semi").select("nid", "node", "first_doc", "copies")
-    wanted = cut(_repeated(wanted, rows))
-    sets = _sets(docs, wanted)
-    sizes = cut(sets.select("nid", "n"))
-    labels = wanted.select("nid", F.col("nid").alias("comp"))
-    pairs = members.where("nid <> head").select(F.col("head").alias("a"), F.col("nid").alias("b")).dropDuplicates()
-    labels = cut(_relabel(labels, _links(pairs, sets, sizes)))
-    low, high = 0, 8
-    open_ = _possible(cut(_unsettled(members.select("bucket", "nid"), labels)), sets, sizes)
-    open_ = cut(_unsettled(open_, labels).withColumn("rank", F.row_number().over(W.partitionBy("bucket").orderBy("nid"))))
-    while open_.take(1):
-        leader = open_.where(F.col("rank").between(low + 1, high)).select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("nid", "comp", "rank", "n", "u")])
-        shared = F.least(F.col("n") - F.col("u"), F.col("n_a") - F.col("u_a"))
-        bound = (shared >= SHARE * (F.col("n") + F.col("n_a")) - 1e-9) & (shared * (1 - SIMILARITY) >= SIMILARITY * (F.col("u") + F.col("u_a")) - 1e-9)
-        other = open_.select("bucket", "nid", "comp", "rank", "n", "u")
-        met = leader.join(other, (leader["bucket"] == other["bucket"]) & (F.col("rank") > F.col("rank_a")) & (F.col("comp") != F.col("comp_a")) & bound)
-        links = _links(met.select(F.col("nid_a").alias("a"), F.col("nid").alias("b")).dropDuplicates(), sets, sizes)
-        ends = labels.select(F.col("nid").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("nid").alias("b"), F.col("comp").alias("cb"))
-        joined = links.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        labels = cut(_relabel(labels, joined))
-        low, high = high, 4 * high
-        left = open_.groupBy("bucket").agg(F.max("rank").alias("last")).where(F.col("last") > low)
-        open_ = cut(_unsettled(open_.join(left, "bucket", "left_semi").drop("comp"), labels))
-    comp = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("comp")
-    linked = labels.join(comp, "comp", "left_semi")
-    known = nodes.select("nid", "node", "first_doc", "copies").join(linked, "nid", "left").where("comp is not null or copies > 1")
-    known = known.withColumn("comp", F.coalesce("comp", "nid"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("copies"), *[F.first(c).alias(c) for c in ("n", "bands", "sketch")])
+    nodes, _ = counted(nodes.withColumn("nid", F.monotonically_increasing_id()), 300)
+    members = nodes.select("nid", "n", F.explode("bands").alias("bucket"))
+    heads = members.groupBy("bucket").agg(F.min(F.struct("nid", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members, _ = counted(members.join(heads, "bucket").where("nid <> head.nid").select("bucket", "nid", "n", F.col("head.nid").alias("head"), F.col("head.n").alias("head_n")), 48)
+    ends = members.select("nid").unionAll(members.select(F.col("head").alias("nid"))).dropDuplicates()
+    wanted, count = counted(nodes.join(ends, "nid", "left_semi").select("nid", "node", "first_doc", "copies", "sketch"), 120)
+    sets = cut(_sets(docs, wanted, count))
+    sketches = wanted.select("nid", "sketch")
+    pairs = members.where(_close("n", "head_n")).select(F.col("head").alias("a"), F.col("nid").alias("b")).dropDuplicates()
+    links, edges = counted(_links(pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")}), sets, sketches, count), 16)
+    comps, n = _components(links, edges)
+    left = _classed(members.select("bucket", "nid", "n"), comps, n, "nid")
+    open_, several = counted(left.join(_mixed(left).select("bucket"), "bucket", "left_semi").select("nid", "n", "comp").dropDuplicates(), 40)
+    release(members)
+    more = _rounds(open_, several, sets, sketches, count) if several else []
+    if more:
+        for each in more:
+            links = links.unionAll(each)
+        comps, n = _components(*counted(links.dropDuplicates(), 16))
+    known = _classed(nodes.select("nid", "node", "first_doc", "copies"), comps, n, "nid").where("linked or copies > 1")
     best = known.groupBy("comp").agg(F.min(F.struct(F.col("first_doc").isNull().alias("none"), "first_doc", "nid")).alias("best"))
     known = known.join(best, "comp").select("node", "first_doc", "copies", F.col("best.first_doc").alias("class_id"), (F.col("nid") == F.col("best.nid")).alias("keeper"))
-    return rows.select("doc_id", "node"), cut(known)
+    known, size = counted(known, 60)
+    release(nodes, wanted, sets, comps, open_, *more)
+    return rows.select("doc_id", "node"), known, size
+
+
+def _rounds(open_: DataFrame, several: int, sets: DataFrame, sketches: DataFrame, count: int) -> list[DataFrame]:
+    """Links (u, v) between the classes of the open nodes (nid, n, comp), round by round.
 
+    Places bound a pair from each shingle that it meets in: what the two share up to there
+    is at most the smaller place without shingles of one node, and after it at most the
+    smaller rest.  A pair stays only if each of these bounds allows SIMILARITY.
+    """
+    buckets, rows = counted(_possible(open_, several, sets), 60)
+    low, high, found = 0, LEADERS, []
+    while rows:
+        leader = buckets.where((F.col("rank") >= low) & (F.col("rank") < high))
+        leader = leader.select(F.col("bucket").alias("_b"), *[F.col(c).alias(f"{c}_a") for c in ("nid", "comp", "rank", "n", "u", "place")])
+        shared = F.least(F.col("n") - F.col("u"), F.col("n_a") - F.col("u_a"))
+        needed = SHARE * (F.col("n") + F.col("n_a")) - 1e-9
+        later = F.struct("rank", "nid") > F.struct("rank_a", "nid_a")
+        early = ((F.col("n") > F.col("n_a")) | _early("place", "n")) & ((F.col("n_a") > F.col("n")) | _early("place_a", "n_a"))
+        met = buckets.join(_small(leader, rows), (F.col("bucket") == F.col("_b")) & later & (F.col("comp") != F.col("comp_a")) & early & (shared >= needed))
+        most = F.least(F.col("place") - F.col("u"), F.col("place_a") - F.col("u_a")) + F.least(F.col("n") - F.col("place"), F.col("n_a") - F.col("place_a"))
+        pairs = met.groupBy(F.col("nid_a").alias("a"), F.col("nid").alias("b"), F.col("comp_a").alias("ca"), F.col("comp").alias("cb")).agg(F.min(most - needed).alias("over")).where("over >= 0").drop("over")
+        links, edges = counted(_links(pairs, sets, sketches, count), 16)
+        comps, n = _components(links, edges)
+        found.append(links)
+        low, high = high, 4 * high
+        before = buckets
+        now = _classed(buckets.withColumnRenamed("comp", "was"), comps, n, "was").drop("was", "size", "linked")
+        buckets, rows = counted(now.join(_small(_mixed(now, low), rows), "bucket"), 60)
+        release(before, comps)
+    release(buckets)
+    return found
 
-def _repeated(wanted: DataFrame, rows: DataFrame) -> DataFrame:
-    """(nid, node, first_doc, again): whether several rows of the node have its first doc_id."""
-    copied = wanted.where("copies > 1").select("nid", F.col("node").alias("want"), "first_doc")
-    same = rows.select("doc_id", "node").join(copied, (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_doc")))
-    many = same.groupBy("nid").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("nid", F.lit(True).alias("again"))
-    return wanted.join(many, "nid", "left").select("nid", "node", "first_doc", F.coalesce("again", F.lit(False)).alias("again"))
 
+def _early(place: str, n: str) -> F.Column:
+    """Whether a shingle's place among those of a set is one that a larger partner must share."""
+    return F.col(place) <= F.col(n) - F.ceil(2 * SHARE * F.col(n) - 1e-9) + 1
 
-def _possible(members: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Where the members (bucket, nid) may still reach SIMILARITY: (bucket, nid, n, u) by shingle.
 
-    u counts the shingles that no other of the members has.  They are in no intersection, so
-    two members share at most n - u, and have to share SHARE of their sizes' sum; members
-    that can't are left out.  Of the others each takes its rarest shingles, one more than it
-    may lack in a partner: any two that reach SIMILARITY have one of these in common, so
-    these shingles take the place of the bands.
+def _possible(open_: DataFrame, several: int, sets: DataFrame) -> DataFrame:
+    """Where open nodes may still reach SIMILARITY: (bucket, nid, n, u, place, comp, size, rank) by shingle.
+
+    u counts the shingles that no other open node has.  They are in no intersection, so two
+    nodes share at most n - u and have to share 0.8 of the larger at least; nodes that can't
+    are left out.  Of the others each takes its rarest shingles, one more than it may lack in
+    a partner: any two that reach SIMILARITY have one of these in common.  A node's rank
+    in a shingle is its hash, stretched to the shingle's number of members: ranks need no
+    sort, and shingles of the same members have the same leaders, whose pairs count once.
     """
-    own = cut(sets.join(members.select("nid").dropDuplicates(), "nid", "left_semi").select("nid", F.explode("shingles").alias("s")))
-    alone = own.groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("nid").alias("nid")).where("k = 1").groupBy("nid").agg(F.count(F.lit(1)).alias("u"))
-    rows = members.select("bucket", "nid").join(sizes, "nid").join(alone, "nid", "left").withColumn("u", F.coalesce("u", F.lit(0)))
-    least = rows.groupBy("bucket").agg(F.min("n").alias("least"))
-    rows = rows.join(least, "bucket").groupBy("nid", "n", "u").agg(F.min("least").alias("least"))
-    needed = F.ceil(SHARE * (F.col("n") + F.greatest(F.col("least").cast("double"), SIMILARITY * F.col("n"))) - 1e-9)
-    rows = rows.withColumn("needed", needed).where(F.col("n") - F.col("u") >= F.col("needed"))
-    own = own.join(rows.select("nid", "n", "u", "needed"), "nid")
+    own = sets.join(_small(open_, several), "nid").select("nid", "n", "comp", F.explode("shingles").alias("s"))
     often = own.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
-    place = F.row_number().over(W.partitionBy("nid").orderBy("k", "s"))
-    first = own.join(often, "s").withColumn("place", place).where((F.col("place") <= F.col("n") - F.col("needed") + 1) & (F.col("k") > 1))
-    return cut(first.select(F.col("s").alias("bucket"), "nid", "n", "u"))
-
-
-def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of buckets that hold several classes, with their classes."""
-    both = members.join(labels, "nid")
-    mixed = both.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bucket")
-    return both.join(mixed, "bucket", "left_semi")
+    of_node = W.partitionBy("nid")
+    rows = own.join(often, "s").withColumn("u", F.sum((F.col("k") == 1).cast("int")).over(of_node))
+    rows = rows.withColumn("place", F.row_number().over(of_node.orderBy("k", "s")))
+    needed = F.ceil(SIMILARITY * F.col("n") - 1e-9)
+    rows = rows.where((F.col("n") - F.col("u") >= needed) & (F.col("place") <= F.col("n") - needed + 1) & (F.col("k") > 1))
+    members = cut(rows.select(F.col("s").alias("bucket"), "nid", "n", "u", "place", "comp"))
+    draw = F.shiftrightunsigned(F.xxhash64("nid"), 11) * F.lit(2.0**-53)
+    return members.join(_mixed(members), "bucket").withColumn("rank", draw * F.col("size"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -401,8 +459,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Rows that repeat the kept document's doc_id and text are that document, and marked alike.
     """
-    rows, nodes = classes(docs)
-    table = nodes.select(F.col("node").alias("known"), "class_id", "keeper", "first_doc")
+    rows, nodes, count = classes(docs)
+    table = _small(nodes.select(F.col("node").alias("known"), "class_id", "keeper", "first_doc"), count)
     found = rows.join(table, F.col("node") == F.col("known"), "left")
     keep = F.col("known").isNull() | (F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("first_doc")))
     with_text = found.select("doc_id", F.when(F.col("known").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), keep.alias("keep"))
@@ -415,12 +473,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that repeat a kept document's doc_id and text only one stays.
     """
-    rows, nodes = classes(docs)
+    rows, nodes, count = classes(docs)
+    release(rows)
     gone = nodes.where(~F.col("keeper")).select("node", F.lit(None).cast("long").alias("first_doc"), F.lit(False).alias("keeper"))
     many = nodes.where(F.col("keeper") & (F.col("copies") > 1)).select("node", "first_doc", "keeper")
-    table = cut(gone.unionByName(many)).select(F.col("node").alias("_known"), F.col("first_doc").alias("_first"), F.col("keeper").alias("_keeper"))
+    table = gone.unionByName(many).select(F.col("node").alias("_known"), F.col("first_doc").alias("_first"), F.col("keeper").alias("_keeper"))
     names = docs.columns
-    marked = docs.withColumn("_node", _node()).join(_small(table, table.count()), F.col("_node") == F.col("_known"), "left")
+    marked = docs.withColumn("_node", _node()).join(_small(table, count), F.col("_node") == F.col("_known"), "left")
     alone = marked.where(F.col("_known").isNull()).select(*names)
     copied = marked.where(F.col("_keeper") & F.col("doc_id").eqNullSafe(F.col("_first"))).dropDuplicates(["_node"]).select(*names)
     return alone.unionByName(copied)

@@ -5,11 +5,14 @@ The root holds all rows; a node that is to give several shards is cut where its
 relative to the whole.  The cut is a weighted quantile found by distributed histograms:
 each round sums weights by node and bin, keeps the bin that holds the quantile and cuts
 that bin again.  Where one value alone is too heavy, equal values are ordered by text hash
-(equal texts stay together as long as they fit) and last by row, so a group of copies of
-any size still divides.  The driver sees one row a node and round.
-
-Null texts have no bytes and size 1; repeated rows are told apart by their place in the
-input; with fewer rows than shards some shards are empty; an empty table gives an empty
+(equal texts stay together as long as they fit) and last by a hash of doc_id, text and the
+number of the row among equal ones, so a group of copies of any size still divides.  The
+driver sees one row a node and round.
+
+Only doc_id and text decide: the same rows in other files, another order or on other cores
+get the same shards and slots.  Null texts have no bytes and size 1; of rows that repeat
+doc_id and text it isn't told which gets which place, only that together they get the same
+ones; with fewer rows than shards some shards are empty; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, spread
+from .common import counted, cut
 
 #: Bins of a histogram; the share of a node's weight below which a bin isn't cut further;
 #: the share up to which the copies of one text stay together.
@@ -29,6 +32,8 @@ BINS, NEAR, TOGETHER = 1024, 0.0005, 0.004
 _SPAN = float(1 << 40)
 #: Nodes up to which a level's cuts are broadcast.
 BROADCAST_NODES = 100_000
+#: Rows that are numbered in one task about.
+SLOT_ROWS = 50_000
 
 
 def metadata(text: Column) -> list[Column]:
@@ -37,13 +42,36 @@ def metadata(text: Column) -> list[Column]:
     return [F.log2(size + 1), (size - F.length(text)) / F.greatest(size, F.lit(1.0)), F.log2(F.regexp_count(text, F.lit("\n")).cast("double") + 1)]
 
 
-def slim(docs: DataFrame) -> DataFrame:
-    """doc_id, weight, crc, dimensions d0.., and the tie-break keys of each row, in a written table."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = spread(docs.select("doc_id", "text")).select("doc_id", text.alias("text"), F.monotonically_increasing_id().alias("place"))
+def slim(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, size, crc, dimensions d0.., node 0 and the tie-break keys of each row, in a written table; its rows."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     dims = [d.alias(f"d{i}") for i, d in enumerate(metadata(F.col("text")))]
+    size = (F.octet_length("text") + 1).cast("long").alias("size")
+    rows, n = counted(rows.select("doc_id", size, F.crc32("text").alias("text_crc32"), *dims, F.xxhash64("text").alias("h"), F.lit(0).alias("node")), 120)
+    rows = _numbered(rows).withColumn("own", F.xxhash64(F.lit(9), "doc_id", "h", "copy"))
     near = lambda c: F.shiftrightunsigned(c, 24).cast("double")
-    return cut(rows.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), *dims, near(F.xxhash64("text")).alias("by_text"), near(F.xxhash64(F.lit(9), "place")).alias("by_row"), "place"))
+    return cut(rows.withColumns({"by_text": near(F.col("h")), "by_row": near(F.col("own"))}).drop("h", "copy")), n
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``copy``: 0, 1, ... among rows of one doc_id and text, in any order.
+
+    Numbers run within each partition and add up over the partitions, so that a group of
+    repeated rows isn't gathered; rows that don't repeat take no part in it.
+    """
+    repeated, groups = counted(rows.groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("doc_id").alias("same_id"), F.col("h").alias("same_h")), 24)
+    if not groups:
+        return rows.withColumn("copy", F.lit(0).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("same_id")) & (F.col("h") == F.col("same_h"))
+    few = _small(repeated, groups)
+    once = rows.join(few, same, "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    place = cut(rows.join(few, same, "left_semi").withColumn("place", F.monotonically_increasing_id())).withColumn("part", F.shiftright("place", 33))
+    group = ["doc_id", "h"]
+    counts = place.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("k"))
+    before = counts.select(F.col("doc_id").alias("same_id"), F.col("h").alias("same_h"), F.col("part").alias("same_part"), (F.sum("k").over(W.partitionBy(*group).orderBy("part")) - F.col("k")).alias("before"))
+    number = place.withColumn("r", F.row_number().over(W.partitionBy(*group, "part").orderBy("place")) - 1)
+    many = number.join(before, same & (F.col("part") == F.col("same_part"))).withColumn("copy", F.col("before") + F.col("r"))
+    return once.unionByName(many.select(once.columns))
 
 
 def _small(df: DataFrame, nodes: int) -> DataFrame:
@@ -94,8 +122,8 @@ def _quantiles(rows: DataFrame, dims: list[str], todo: dict[int, dict]) -> dict[
 
 
 def tree(rows: DataFrame, dims: list[str], leaves: int) -> DataFrame:
-    """``rows(size, by_text, by_row, dims)`` with their shard 0..leaves-1 as ``node``."""
-    rows, nodes, span = rows.withColumn("node", F.lit(0)), {0: leaves}, None
+    """``rows(node 0, size, by_text, by_row, dims)`` with their shard 0..leaves-1 as ``node``."""
+    nodes, span = {0: leaves}, None
     while any(n > 1 for n in nodes.values()):
         stats = rows.groupBy("node").agg(F.sum("size").cast("double").alias("weight"), *[f(d).alias(f"{f.__name__}_{d}") for d in dims for f in (F.min, F.max)]).collect()
         if not stats:
@@ -123,14 +151,18 @@ def tree(rows: DataFrame, dims: list[str], leaves: int) -> DataFrame:
     return rows
 
 
-def slots(rows: DataFrame) -> DataFrame:
-    """A gapless ``slot`` in each ``node``: rows are numbered within their input partition,
-    and partitions follow one another, so no shard is ever gathered or sorted as a whole."""
-    rows = rows.withColumn("part", F.shiftright("place", 33))
+def slots(rows: DataFrame, n: int) -> DataFrame:
+    """A gapless ``slot`` in each ``node``, in the order of the rows' own hashes.
+
+    Rows are numbered within ranges of the hash that hold about SLOT_ROWS of the n rows, and
+    ranges follow one another, so no shard is ever gathered or sorted as a whole.
+    """
+    bits = max(1, math.ceil(math.log2(n / SLOT_ROWS + 1)))
+    rows = rows.withColumn("part", F.shiftrightunsigned("own", 64 - bits))
     counts = rows.groupBy("node", "part").agg(F.count(F.lit(1)).alias("n"))
     offset = F.sum("n").over(W.partitionBy("node").orderBy("part")) - F.col("n")
     offsets = counts.select("node", "part", offset.alias("offset"))
-    numbered = rows.withColumn("r", F.row_number().over(W.partitionBy("node", "part").orderBy("place")) - 1)
+    numbered = rows.withColumn("r", F.row_number().over(W.partitionBy("node", "part").orderBy("own", "doc_id", "size", "text_crc32")) - 1)
     return numbered.join(offsets, ["node", "part"]).withColumn("slot", (F.col("offset") + F.col("r")).cast("long")).drop("offset", "r", "part")
 
 
@@ -139,9 +171,9 @@ def shard(docs: DataFrame, target_bytes: int | None = None, shards: int | None =
 
     Give the bytes a leaf is to reach, or the number of leaves.
     """
-    rows = slim(docs)
+    rows, n = slim(docs)
     if shards is None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         shards = max(1, math.ceil(total / target_bytes))
-    rows = slots(tree(rows, [c for c in rows.columns if c[0] == "d" and c[1:].isdigit()], shards))
+    rows = slots(tree(rows, [c for c in rows.columns if c[0] == "d" and c[1:].isdigit()], shards), n)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("node").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from inkveil.llm import dartminhash, flac, kdshard, mix
+from inkveil.llm import common, dartminhash, flac, kdshard, mix
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -188,6 +188,18 @@ def test_signature_estimates_jaccard(n):
     assert np.mean(found) == pytest.approx(np.mean(true), abs=0.03)
 
 
+def test_sketches_of_similar_sets_pass():
+    """Sketches of pairs at 0.8 differ in 18 of 96 coordinates on average, far under the bound."""
+    rng = np.random.default_rng(5)
+    apart = []
+    for _ in range(200):
+        a = rng.integers(0, 2**63, 180).astype(np.uint64)
+        b = np.concatenate([a[:160], rng.integers(0, 2**63, 20).astype(np.uint64)])
+        x, y = dartminhash.sketch(dartminhash.dart_signature(np.concatenate([a, b]), None, np.repeat([0, 1], 180), 2))
+        apart.append(sum(int(p) >> (4 * i) & 15 != int(q) >> (4 * i) & 15 for p, q in zip(x, y) for i in range(16)))
+    assert np.mean(apart) == pytest.approx(18, abs=1.5) and max(apart) <= dartminhash.SKETCH_APART
+
+
 def test_signature_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     e = rng.integers(0, 2**63, 50).astype(np.uint64)
@@ -227,6 +239,21 @@ def test_small_groups_stay_together(spark):
     assert all(len(s) == 1 for s in where.values())
 
 
+def test_layout_changes_nothing(spark, tmp_path):
+    """The same rows in another order, in other files and on other partitions get the same places."""
+    rng = random.Random(8)
+    rows = [(i, f"text {rng.randint(0, 900)} " * rng.randint(1, 30)) for i in range(2000)] + [(5000 + i, "same text " * 20) for i in range(2000)]
+    rows += [(None, "same text " * 20)] * 300 + [(7, None)] * 40
+    rng.shuffle(rows)
+    schema = "doc_id long, text string"
+    tables = [spark.createDataFrame(rows, schema).coalesce(1), spark.createDataFrame(rows[::-1], schema).repartition(7)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    tables.append(common.read(spark, str(tmp_path), "documents"))
+    first, *rest = [sorted(map(str, kdshard.shard(t, shards=8).collect())) for t in tables]
+    assert len(first) == len(rows) and all(r == first for r in rest)
+
+
 def test_target_bytes(spark):
     rows = [(i, "y" * 99) for i in range(1000)]
     got = Counter(r.shard for r in kdshard.shard(spark.createDataFrame(rows, "doc_id long, text string"), target_bytes=10_000).collect())

@@ -9,12 +9,12 @@ its source's target asks for, and the tokenizer turns what is left into ids.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from inkveil.llm import bpe, dartminhash, langid, mix, secrets
+from inkveil.llm.common import shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +54,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again.
 
-    Stage tables go to a folder of this run under spark.checkpoint.dir, which all
-    executors share; a local folder is used only where that isn't set.
+    Stage tables go to a folder of this run under spark.checkpoint.dir, which driver and
+    executors share; without that setting the run fails before it starts.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    folder = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
+    folder = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")

@@ -65,6 +65,11 @@ def rx(pattern: str, to: str) -> str:
 
 _SSN_TEXT = f"concat('SSN ', {pad('c_custkey % 1000', 3)}, '-', {pad('c_custkey % 100', 2)}, '-', {pad('c_custkey % 10000', 4)}, ' and 9', {pad('c_custkey % 997', 3)}, '-12-34567, not 123-45-678')"
 built("ssn_mask", "customer", "c_custkey", _SSN_TEXT, patterns.mask_ssn, rx("[0-9]{3}-[0-9]{2}-[0-9]{4}", "***-**-****"))
+add(
+    "ssn_mask_docs",
+    lambda s, d: read(s, d, "documents").select("doc_id", patterns.mask_ssn("text").alias("output")),
+    "SELECT doc_id, regexp_replace(text, '[0-9]{3}-[0-9]{2}-[0-9]{4}', '***-**-****', 'g') AS output FROM documents",
+)
 built("ssn_count", "customer", "c_custkey", _SSN_TEXT, lambda c: F.size(patterns.ssn_spans(c)).cast("long"), "cast(len(regexp_extract_all(t, '[0-9]{3}-[0-9]{2}-[0-9]{4}')) as bigint)")
 built("ssn_first_span", "customer", "c_custkey", _SSN_TEXT, lambda c: F.get(patterns.ssn_spans(c), F.lit(0))["start"].cast("long"), "cast(strpos(t, regexp_extract(t, '[0-9]{3}-[0-9]{2}-[0-9]{4}')) - 1 as bigint)")
 
@@ -128,6 +133,22 @@ built("dea_valid", "orders", "o_orderkey", f"concat('AB', {pad('(o_orderkey * 79
 built("nhs_valid", "orders", "o_orderkey", pad("(o_orderkey * 7919) % 10000000000", 10), checksums.nhs_valid, f"(11 - {_sum('t', list(range(10, 1, -1)))} % 11) % 11 = {_digit('t', 10)}")
 built("sin_valid", "orders", "o_orderkey", pad("(o_orderkey * 7919) % 1000000000", 9), checksums.sin_valid, f"(substr(t, 1, 3) <> '000' AND {_luhn('t', 9)})")
 built("vin_valid", "orders", "o_orderkey", f"concat('1M8GDM9', 'A', substr('0123456789X', cast(o_orderkey % 11 as int) + 1, 1), 'KP', {pad('(o_orderkey * 31) % 1000000', 6)})", checksums.vin_valid, f"({_sum('translate(t, ' + chr(39) + 'ADGKMPX' + chr(39) + ', ' + chr(39) + '1472477' + chr(39) + ')', [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2])} % 11) = (CASE WHEN substr(t, 9, 1) = 'X' THEN 10 ELSE {_digit('t', 9).replace('cast', 'try_cast')} END)")
+
+
+def masked(name: str, valid: str, token: str, function: Callable[[Column], Column]) -> None:
+    """The redactor of the numbers that the query ``valid`` checks, inside other words."""
+    inner = CATALOG[valid][1].removeprefix("SELECT o_orderkey, ")
+    source = inner.split("FROM (SELECT o_orderkey, ", 1)[1].rsplit(" AS t FROM", 1)[0]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return read(spark, sf_dir, "orders").select("o_orderkey", function(F.expr(f"concat('no. ', {source}, ' on file')")).alias("output"))
+
+    add(name, query, f"SELECT o_orderkey, concat('no. ', CASE WHEN output THEN '{token}' ELSE t END, ' on file') AS output FROM (SELECT o_orderkey, t, {inner})")
+
+
+masked("dea_redact", "dea_valid", "[DEA_REDACTED]", patterns.redact_dea)
+masked("npi_redact", "npi_valid", "[NPI_REDACTED]", patterns.redact_npi)
+masked("vin_redact", "vin_valid", "[VIN_REDACTED]", patterns.redact_vin)
 built("iban_valid", "orders", "o_orderkey", f"concat('DE', {pad('o_orderkey % 97', 2)}, {pad('(o_orderkey * 7919) % 1000000000', 18)})", checksums.iban_valid, "cast(concat(substr(t, 5), '1314', substr(t, 3, 2)) as hugeint) % 97 = 1")
 built("us_phone_valid", "orders", "o_orderkey", "cast(o_orderkey * 7919 + 1990000000 as string)", checksums.us_phone_valid, "regexp_full_match(t, '1?[2-9][0-9]{2}[2-9][0-9]{6}')")
 _PHONE_FORM = "[+]1 [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}"
@@ -156,7 +177,7 @@ scanned("street_redact", "customer", "c_custkey", "concat('lives 1', cast(c_cust
 scanned("city_state_redact", "customer", "c_custkey", f"concat('Austin, TX 7', {pad('c_custkey % 10000', 4)}, ' and Paris, FR 75001')", Flags(addresses=True), f"concat('[ADDRESS_REDACTED] ', CASE WHEN substr(concat('7', {pad('c_custkey % 10000', 4)}), 1, 3) = '790' THEN '00000' ELSE concat(substr(concat('7', {pad('c_custkey % 10000', 4)}), 1, 3), '00') END, ' and Paris, FR 75000')")
 scanned("iban_redact", "customer", "c_custkey", "concat('pay DE89 3704 0044 0532 0130 00, not DE', cast(10 + c_custkey % 70 as string), ' 3704 0044.')", Flags(iban=True, locale="eu"), "concat('pay [IBAN_REDACTED], not DE', cast(10 + c_custkey % 70 as string), ' 3704 0044.')")
 scanned("card_rescan", "customer", "c_custkey", f"concat({pad('1000 + c_custkey % 1000', 4)}, ' 4111111111111111 paid')", Flags(credit_card=True), f"concat({pad('1000 + c_custkey % 1000', 4)}, ' [CC_REDACTED] paid')")
-scanned("scan_order", "orders", "o_orderkey", f"concat('Email u', cast(o_orderkey as string), '@test.com phone 555-234-', {pad('o_orderkey % 10000', 4)}, ' card 4111111111111111 ip 10.0.0.', cast(o_orderkey % 256 as string), ' MRN: ', {pad('o_orderkey', 8)}, ' done')", Flags(email=True, phone=True, credit_card=True, ip=True, healthcare=True), "'Email [EMAIL_REDACTED] phone [PHONE_REDACTED] card [CC_REDACTED] ip [IPV4_REDACTED] MRN: [MRN_REDACTED] done'")
+scanned("scan_order", "orders", "o_orderkey", f"concat('from k', cast(o_orderkey as string), '@post.example.net, tel. 555-234-', {pad('o_orderkey % 10000', 4)}, ' paid by 4111111111111111 at 10.9.8.', cast(o_orderkey % 256 as string), ', MRN: ', {pad('o_orderkey', 8)}, ' ok')", Flags(email=True, phone=True, credit_card=True, ip=True, healthcare=True), "'from [EMAIL_REDACTED], tel. [PHONE_REDACTED] paid by [CC_REDACTED] at [IPV4_REDACTED], MRN: [MRN_REDACTED] ok'")
 scanned("scan_national_ids", "customer", "c_custkey", "concat('ref', cast(c_custkey as string), ' NHS 943 476 5919 SIN 046 454 286 NI AA 12 34 56 C')", Flags(uk_nhs=True, ca_sin=True, uk_nino=True, locale="all"), "concat('ref', cast(c_custkey as string), ' NHS [NHS_REDACTED] SIN [SIN_REDACTED] NI [UK_NINO_REDACTED]')")
 add(
     "find_pii_tokens",
@@ -166,11 +187,11 @@ add(
 
 
 def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = "concat('Call Dr. Sarah Jenkins about claim # ', cast(c_custkey as string), 'A. He lives at ', cast(c_custkey % 90 as string), ' Elm Road, ok')"
+    source = "concat('Ask Dr. Omar Haddad for claim # ', cast(c_custkey as string), 'A. He lives at ', cast(c_custkey % 90 as string), ' Elm Road, ok')"
     return read(spark, sf_dir, "customer").select("c_custkey", redact_context(F.expr(source)).alias("output"))
 
 
-add("context_redact", _context, "SELECT c_custkey, 'Call Dr. [NAME_REDACTED] about claim # [NUMBER_REDACTED]. He lives at [ADDRESS_REDACTED], ok' AS output FROM customer")
+add("context_redact", _context, "SELECT c_custkey, 'Ask Dr. [NAME_REDACTED] for claim # [NUMBER_REDACTED]. He lives at [ADDRESS_REDACTED], ok' AS output FROM customer")
 
 # ---------------------------------------------------------------- names
 

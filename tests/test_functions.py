@@ -66,7 +66,7 @@ GOLDEN = [
     ("+44 7700 900123", {"uk_phone": True, "strict_compat": True}, "[PHONE_REDACTED]"),
     ("é 10.0.0.1 é", {"ip": True}, "é [IPV4_REDACTED] é"),
     ("a@", {"email": True}, "a@"),
-    ("Email user@test.com phone 555-234-5678 card 4111111111111111 ip 10.0.0.1 MRN: 12345678 done", {f: True for f in ("email", "phone", "credit_card", "ip", "healthcare")}, "Email [EMAIL_REDACTED] phone [PHONE_REDACTED] card [CC_REDACTED] ip [IPV4_REDACTED] MRN: [MRN_REDACTED] done"),
+    ("to k7@post.example.net, tel. 555-234-0199 paid by 4111111111111111 at 10.9.8.7, MRN: 90817263 ok", {f: True for f in ("email", "phone", "credit_card", "ip", "healthcare")}, "to [EMAIL_REDACTED], tel. [PHONE_REDACTED] paid by [CC_REDACTED] at [IPV4_REDACTED], MRN: [MRN_REDACTED] ok"),
 ]
 
 
@@ -139,9 +139,9 @@ def test_checksums(spark):
 
 def test_hash_token(spark):
     key = "0123456789abcdef" * 4
-    values = ["PT-99001", "é", ""]
+    values = ["K7-3102", "é", ""]
     got = native(spark, lambda c: hashing.hash_token(c, key), values)
-    assert got[0] == "PSEUDO_b0f98f29cc378fd6"
+    assert got[0] == "PSEUDO_6e366f1714a6bf34"
     assert got == ["PSEUDO_" + hmac.new(bytes.fromhex(key), v.encode(), hashlib.sha256).hexdigest()[:16] for v in values]
     with pytest.raises(ValueError):
         hashing.key_bytes("abc")
@@ -159,9 +159,9 @@ def test_text(spark):
 
 def test_entities():
     d = names.forward([to_bytes(n) for n in ("Jane Smith", "Robert Brown")])
-    assert d.replace("Robert Brown reviewed the chart with JANE SMITH.") == "Entity_2 reviewed the chart with Entity_1."
+    assert d.replace("At noon ROBERT BROWN met Jane Smith.") == "At noon Entity_2 met Entity_1."
     assert d.replace("Janet Smithson, xJane Smith, éJane Smith") == "Janet Smithson, xJane Smith, éJane Smith"
-    assert to_text(names.forward([to_bytes("Жан Иванов")]).replace(to_bytes("Пациент Жан Иванов прибыл."))) == "Пациент Entity_1 прибыл."
+    assert to_text(names.forward([to_bytes("Олег Петров")]).replace(to_bytes("Вчера звонил Олег Петров."))) == "Вчера звонил Entity_1."
     assert names.forward(["a/b", "x"]).replace("a,b") == "Entity_1"  # other punctuation is one class
     assert names.forward(["Ann", "ann"]).replace("ANN") == "Entity_2"  # the last of equal names
     assert names.forward(["Ann", "Ann Lee"]).replace("Ann Lee, Ann") == "Entity_2, Entity_1"  # longest
@@ -200,10 +200,10 @@ def test_fuzzy():
             out, last = out + value[last : s.start] + names.alias(s.index), s.end
         return out + value[last:]
 
-    assert run("Patient J0hn Doe was seen today.", ["John Doe"]) == "Patient Entity_1 was seen today."
-    assert run("Patient John E Doe was seen.", ["John Doe"], 0.75) == "Patient Entity_1 was seen."
-    assert run("Mr. Doe was discharged", ["John Doe"]) == "Mr. Entity_1 was discharged"
-    assert run("The weather is nice today and the clinic is quiet.", ["John Doe"]) == "The weather is nice today and the clinic is quiet."
+    assert run("ask M4ry Poe about lunch", ["Mary Poe"]) == "ask Entity_1 about lunch"
+    assert run("later Mary K Poe left", ["Mary Poe"], 0.75) == "later Entity_1 left"
+    assert run("Ms. Poe paid twice", ["Mary Poe"]) == "Ms. Entity_1 paid twice"
+    assert run("An old harbour wall runs along this street.", ["Mary Poe"]) == "An old harbour wall runs along this street."
     assert run("abcdx", ["abcde"]) == "abcdx"  # one edit in five doesn't meet 0.80 as a 32-bit setting
     assert names.edits("kitten", "sitting") == 3 and names.edits("", "ab") == 2 and names.edits("abc", "") == 3
     assert names.gaps(10, [(2, 4), (3, 6)]) == [(0, 2), (6, 10)] and names.gaps(0, []) == []
@@ -263,7 +263,7 @@ def test_context():
         data = to_bytes(value)
         return to_text(context.apply(data, context.find(data, threshold)))
 
-    assert run("Call Dr. Sarah Jenkins about claim # 948123A.") == "Call Dr. [NAME_REDACTED] about claim # [NUMBER_REDACTED]."
+    assert run("Ask Dr. Omar Haddad for claim # 771204B.") == "Ask Dr. [NAME_REDACTED] for claim # [NUMBER_REDACTED]."
     assert run("patient reports pain") == "patient reports pain"
     assert run("DOB: 1/2/1980 lives at 12 Elm Road, now") == "DOB: [DATE_REDACTED] lives at [ADDRESS_REDACTED], now"
     assert run("claim 12 of Mr. Doe", 0.82) == "claim 12 of Mr. [NAME_REDACTED]"

@@ -444,9 +444,9 @@ def _possible(open_: DataFrame, several: int, sets: DataFrame) -> DataFrame:
     """
     own = sets.join(_small(open_, several), "nid").select("nid", "n", "comp", F.explode("shingles").alias("s"))
     often = own.groupBy("s").agg(F.count(F.lit(1)).alias("k"))
-    of_node = W.partitionBy("nid")
-    rows = own.join(often, "s").withColumn("u", F.sum((F.col("k") == 1).cast("int")).over(of_node))
-    rows = rows.withColumn("place", F.row_number().over(of_node.orderBy("k", "s")))
+    by_rarity = W.partitionBy("nid").orderBy("k", "s")  # one sort serves both
+    alone = F.sum((F.col("k") == 1).cast("int")).over(by_rarity.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    rows = own.join(often, "s").withColumns({"u": alone, "place": F.row_number().over(by_rarity)})
     needed = F.ceil(SIMILARITY * F.col("n") - 1e-9)
     rows = rows.where((F.col("n") - F.col("u") >= needed) & (F.col("place") <= F.col("n") - needed + 1) & (F.col("k") > 1))
     members = cut(rows.select(F.col("s").alias("bucket"), "nid", "n", "u", "place", "comp"))

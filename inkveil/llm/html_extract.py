@@ -39,6 +39,12 @@ _NAMES = (
 ).split()
 _CLASS = re.compile(rf"(?:(?:site|page|main|top|global|left|right|bottom|primary|secondary|user|reader|blog|google|mobile|inline|text|display|js)[-_]?)?({'|'.join(sorted(_NAMES, key=len, reverse=True))})(?:[-_].*|\d*)", re.IGNORECASE)
 
+#: Names that a section of an article may have for its topic, unless they end like a box of links.
+_TOPICS = set("related recommended recommendations notice notices alert copyright disclaimer promotion search reply replies respond".split())
+_FURNITURE = re.compile(r"[a-z]+(?:[-_](?:posts?|articles?|story|stories|links?|items?|content|news|videos?|list|box|block|widget|bar|form))*\d*", re.IGNORECASE)
+#: Separators without content: between two words each kind counts once.
+_RULES = {"br", "hr", "wbr", "img"}
+
 _TOKEN = re.compile(
     r"""<!--(?:>|->|.*?(?:--!?>|\Z))"""
     r"""|<(?P<raw>script|style|textarea|title|iframe|noscript|xmp|noembed|noframes|template)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"""
@@ -67,27 +73,64 @@ def _boilerplate(name: str, attrs: str, inside: bool) -> str:
         for token in value.split():
             if m := _CLASS.fullmatch(token):
                 word = m[1].lower()
-                if not (inside and word in ("header", "tags", "side", "legal")):
+                if not (inside and (word in ("header", "tags", "side", "legal") or (word in _TOPICS and not _FURNITURE.fullmatch(token)))):
                     return "comment" if word.startswith(("comment", "disqus", "respond", "repl")) else word
     return ""
 
 
+class _Open:
+    """The open elements, with what makes each step constant time however many are open."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, str, bool]] = []  # name, why dropped, inside content
+        self.count: Counter[str] = Counter()
+        self.blocks: list[int] = []  # places of the blocks among them
+
+    def top(self) -> tuple[str, str, bool]:
+        return self.stack[-1] if self.stack else ("", "", False)
+
+    def add(self, name: str, why: str, inside: bool) -> None:
+        if name in _BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, why, inside))
+        self.count[name] += 1
+
+    def close(self, name: str) -> bool:
+        """Close the last open element of this name and all in it; False without one."""
+        if not self.count[name]:
+            return False
+        while True:
+            last = self.stack.pop()[0]
+            self.count[last] -= 1
+            if self.blocks and self.blocks[-1] == len(self.stack):
+                self.blocks.pop()
+            if last == name:
+                return True
+
+    def block(self) -> str:
+        """The innermost open block."""
+        return self.stack[self.blocks[-1]][0] if self.blocks else ""
+
+
 def items(page: str) -> Iterator[tuple[str, str]]:
-    """(kind, text) in page order: words by zone, tags by name, and gaps.
+    """(kind, text) in page order: words by zone, tags by name (inside content: inner), and gaps.
 
     The text of a tag that bounds a block, and of a gap, is one space.
     """
-    stack: list[tuple[str, str, bool]] = []  # name, why dropped, inside content
+    open_ = _Open()
     has_content = re.search(r"<(?:article|main)(?=[\s/>])", page, re.IGNORECASE) is not None
-    seen, links, at, gap = False, 0, 0, False
+    seen, at, gap = False, 0, False
+    rules: set[str] = set()  # separators since the last words
 
     def words(text: str):
         text = entities.unescape(text)
-        zone = ("content" if stack and stack[-1][2] else "outside") if has_content else "plain"
-        return (f"word:{zone}:{'link' if links else 'text'}", text)
+        if not text.isspace():
+            rules.clear()
+        zone = ("content" if open_.top()[2] else "outside") if has_content else "plain"
+        return (f"word:{zone}:{'link' if open_.count['a'] else 'text'}", text)
 
     for m in _TOKEN.finditer(page):
-        dropped = bool(stack and stack[-1][1])
+        dropped = bool(open_.top()[1])
         if m.start() > at and not dropped:
             yield words(page[at : m.start()])
         at = m.end()
@@ -97,40 +140,29 @@ def items(page: str) -> Iterator[tuple[str, str]]:
         if not (m["end"] or m["end2"]):
             attrs = m["attrs"] or m["attrs2"] or ""
             if name in _BLOCK and name != "br":  # an open paragraph ends at the next block, an item at the next item
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p" or (stack[i][0] == name and name in ("li", "tr", "td", "th", "dd", "dt", "option")):
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _BLOCK:
-                        break
-            inside, why = bool(stack and stack[-1][2]), stack[-1][1] if stack else ""
+                around = open_.block()
+                if around == "p" or (around == name and name in ("li", "tr", "td", "th", "dd", "dt", "option")):
+                    open_.close(around)
+            _, why, inside = open_.top()
             if name in _CONTENT and not seen and why and why not in ("comment", "hidden"):  # a menu or advert left open
                 why = ""
             why = why or _boilerplate(name, attrs, inside)
             seen |= name in _CONTENT and not why
             if name not in _VOID:
-                stack.append((name, why, inside or (name in _CONTENT and not why)))
-                links += name == "a"
+                open_.add(name, why, inside or (name in _CONTENT and not why))
             if why:
                 if not gap:
                     yield "gap", " "
                 gap = True
                 continue
-        else:
-            if name == "p" and not any(s[0] == "p" for s in stack):
-                continue
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    links -= sum(s[0] == "a" for s in stack[i:])
-                    del stack[i:]
-                    break
-            else:
-                continue
-            if dropped:
-                continue
+        elif not open_.close(name) or dropped:
+            continue
         gap = False
-        yield f"tag:{name}", " " if name in _BLOCK else ""
-    if at < len(page) and not (stack and stack[-1][1]):
+        kind = f"{'inner' if open_.top()[2] else 'tag'}:{name}"
+        yield "rule" if kind in rules else kind, " " if name in _BLOCK else ""
+        if name in _RULES:
+            rules.add(kind)
+    if at < len(page) and not open_.top()[1]:
         yield words(page[at:])
 
 
@@ -158,7 +190,7 @@ def fit(pages: tuple[str, ...]) -> dict[str, float]:
                     within = part == "[["
                 elif kind.startswith("word"):
                     (inside if within else outside)[kind] += len(part.split())
-            if not kind.startswith("word"):
+            if not kind.startswith(("word", "rule")):
                 (inside if within else outside)[kind] += 1
     weights = {}
     for kind in inside | outside:
@@ -169,7 +201,7 @@ def fit(pages: tuple[str, ...]) -> dict[str, float]:
 
 WEIGHTS = fit(LABELLED)
 #: Items that no labelled page has: plain words are text, tags and gaps cost.
-_DEFAULT = {"word": 1.0, "tag": -0.7, "gap": -2.5}
+_DEFAULT = {"word": 1.0, "tag": -0.7, "inner": -0.25, "gap": -2.5, "rule": 0.0}
 
 
 def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:

@@ -99,6 +99,15 @@ def brute_classes(rows):
     return {i: find(i) for i in sets} | {i: i for i, t in rows if t is None}
 
 
+def test_recall_on_the_corpus(spark):
+    """Rows whose id is divisible by 50 against all rows: every pair at 0.8 or more is in one class."""
+    docs = common.read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    sets = {r.doc_id: shingle_set(r.text) for r in docs.collect() if r.text}
+    found = {r.doc_id: r.class_id for r in dartminhash.dedup(docs).collect()}
+    pairs = [(i, j) for i in sets if i % 50 == 0 for j in sets if i != j and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert pairs and sum(found[i] == found[j] for i, j in pairs) == len(pairs)
+
+
 def near_copies(rng, groups):
     rows = []
     for g in range(groups):

@@ -300,6 +300,23 @@ def test_bpe_rows(spark, encoder):
 # ---------------------------------------------------------------- op7
 
 
+def test_article_stays_whole():
+    rules = "<div class=content><p>Alpha beta.</p>" + "<br><hr>" * 6 + "<p>Gamma delta epsilon zeta eta theta.</p></div>"
+    assert html_extract.extract(rules) == "Alpha beta. Gamma delta epsilon zeta eta theta."
+    links = "".join(f"<li><a href=/{i}>link {i}</a></li>" for i in range(8))
+    page = f"<nav><a href=/>Home</a></nav><article><p>The start of an article.</p><ul>{links}</ul><p>End of the article.</p></article><footer>All rights</footer>"
+    assert html_extract.extract(page) == "The start of an article. " + " ".join(f"link {i}" for i in range(8)) + " End of the article."
+    topic = "<article><p>Some text that begins here.</p><section class='related-work'><p>Others wrote of it.</p></section><div class='related-posts'>More</div><p>It ends.</p></article>"
+    assert html_extract.extract(topic) == "Some text that begins here. Others wrote of it. It ends."
+
+
+@pytest.mark.parametrize("page", ["<span>" * 100_000 + "</p>" * 100_000 + "x", "<p><table>" + "<span>" * 50_000 + "<hr>" * 50_000 + "x", "<ul>" + "<li><a>" * 50_000])
+def test_page_parsing_is_linear(page):
+    start = time.perf_counter()
+    html_extract.extract(page)
+    assert time.perf_counter() - start < 8
+
+
 def sample(pattern, rng):
     """A random text that the pattern matches."""
     import re._constants as c

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,8 +44,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session or its context."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session or its context.
+
+    Where neither names one, a local master, whose tasks run in the driver, gets a folder of
+    its own; on a cluster that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        folder = tempfile.mkdtemp()
     if not folder:
         raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     return folder

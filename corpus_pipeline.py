@@ -55,7 +55,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet and read again.
 
     Stage tables go to a folder of this run under spark.checkpoint.dir, which driver and
-    executors share; without that setting the run fails before it starts.
+    executors share; on a cluster without that setting the run fails before it starts.
     """
     folder = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -61,18 +61,22 @@ def change_event(before: DataFrame, after: DataFrame, action: str, source: str =
     return counts.select(F.lit(action).alias("action"), F.lit(source).alias("source"), F.lit("success").alias("result"), "version", "entity_count_before", "entity_count_after", (F.col("entity_count_after") - F.col("entity_count_before")).alias("delta_count"), F.lit(None).cast("string").alias("detail"))
 
 
-def in_text(docs: DataFrame, column: str, entities: DataFrame) -> DataFrame:
+def in_text(docs: DataFrame, column: str, entities: DataFrame, key: str) -> DataFrame:
     """(document columns, name, alias) of the names that a text holds as whole words.
 
     Documents meet names by the words of names, an equi-join: a name's longest word is
-    its key, a document's distinct words are the other side, and only hits are confirmed.
+    its word to meet by, a document's distinct words are the other side.  Only ``key``
+    goes through that join; the texts meet the few candidates afterwards, and the text
+    confirms each.  Rows that share a key, null too, each get their own names; names without
+    a word are never found.
     """
     word = "[A-Za-z0-9\\x{80}-\\x{10FFFF}]+"
     words = lambda c: F.regexp_extract_all(lower_ascii(c), F.lit(word), F.lit(0))
-    longest = F.element_at(F.array_sort(F.transform(words("name"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), 1)["w"]
+    longest = F.get(F.array_sort(F.transform(words("name"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w")))), F.lit(0))["w"]
     keyed = with_alias(entities).select(longest.alias("_word"), "name", "alias").where("_word is not null")
-    asked = docs.withColumn("_word", F.explode(F.array_distinct(words(column))))
-    found = asked.join(keyed, "_word")
+    asked = docs.select(F.col(key).alias("_key"), F.explode(F.array_distinct(words(column))).alias("_word"))
+    candidates = asked.join(keyed, "_word").select("_key", "name", "alias").distinct()
+    found = docs.join(candidates, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     edge = "A-Za-z0-9\\x{80}-\\x{10FFFF}"
     exact = F.concat(F.lit(f"(?<![{edge}])\\Q"), lower_ascii("name"), F.lit(f"\\E(?![{edge}])"))
-    return found.where(F.regexp_like(lower_ascii(column), exact)).drop("_word")
+    return found.where(F.regexp_like(lower_ascii(column), exact))

@@ -256,7 +256,7 @@ built("mutation_names", "customer", "c_custkey", "concat('{\"add\":[\"', c_name,
 def _in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("position"), F.col("n_name").alias("name"))
     docs = read(spark, sf_dir, "customer").select("c_custkey", F.expr("concat('In ', c_mktsegment, ' of NATION_1 and xNation_2, ', CASE WHEN c_custkey % 2 = 0 THEN 'Nation_3.' ELSE 'nation_33' END)").alias("t"))
-    return entityset.in_text(docs, "t", entityset.snapshot(names, 1)).select("c_custkey", "name", "alias")
+    return entityset.in_text(docs, "t", entityset.snapshot(names, 1), "c_custkey").select("c_custkey", "name", "alias")
 
 
 add(

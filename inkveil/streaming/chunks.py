@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import names
 from ..functions.scanner import to_bytes
-from ..plans.redaction import Options, stages
+from ..plans.redaction import EVENT, Options, stages
 
 #: Bytes that a tail keeps back for matches whose length has no bound of its own.
 TAIL = 256
@@ -46,71 +46,127 @@ class Pieces:
     def __init__(self, run: Callable[[str], str], wait: int, tail: str = ""):
         self.run, self.wait, self.tail = run, wait, tail
 
-    def feed(self, piece: str, last: bool = False) -> str:
-        """What can be told of the output so far; the longest safe prefix of the text.
+    def take(self, piece: str, last: bool = False) -> str:
+        """The input that is settled by now: the open tail stays behind.
 
         A cut is safe only if no match lies across it: then both sides keep their matches.
+        Cuts are tried at blanks that lie back by doubling distances, so that a long tail
+        costs a number of runs that grows with the logarithm of its length.
         """
         data = self.tail + piece
         if last:
             self.tail = ""
-            return self.run(data)
-        at = cut_at(data, self.wait)
+            return data
+        at, back = cut_at(data, self.wait), 32
+        whole = self.run(data) if at else ""
         while at:
             head, rest = data[:at], data[at:]
-            if self.run(head) + self.run(rest) == self.run(data):
+            if self.run(head) + self.run(rest) == whole:
                 self.tail = rest
-                return self.run(head)
-            at = cut_at(data[: at - 1], 0)
+                return head
+            at, back = cut_at(data[: max(at - back, 0)], 0), 2 * back
         self.tail = data
         return ""
 
+    def feed(self, piece: str, last: bool = False) -> str:
+        """What can be told of the output so far."""
+        return self.run(self.take(piece, last))
+
 
 class _Redactor(StatefulProcessor):
-    def __init__(self, options: Options):
-        self.options = options
+    """Tails of open texts, with the place and number of what was last given out."""
+
+    def __init__(self, options: Options, timeout_ms: int | None = None):
+        self.options, self.timeout_ms = options, timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tail", "tail binary")
-        run = stages(self.options)
-        self.run, self.wait = lambda text: run(text)[0], tail_bytes(self.options)
+        self.open(handle)
+        self.full, self.wait = stages(self.options), tail_bytes(self.options)
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("tail", "tail binary, base long, seq long")
+
+    def held(self) -> tuple[str, int, int]:
+        """The open tail, its place in the text, and the number of the last piece."""
+        if not self.state.exists():
+            return "", 0, -1
+        tail, base, seq = self.state.get()
+        return bytes(tail).decode("latin-1"), base, seq
+
+    def row(self, key, seq: int, head: str, base: int, last: bool) -> tuple:
+        """One row of output; places of events count from the start of the text."""
+        output, events = self.full(head)
+        moved = [e | {"offset": e["offset"] + base} for e in events]
+        # a piece may end inside a character: only whole texts are decoded
+        return key[0], seq, output.encode("latin-1").decode("utf-8", "replace"), last, moved
+
+    def timer(self, now: int | None) -> None:
+        """Let the key's time-out start anew, or end."""
+        if self.timeout_ms is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            if now is not None:
+                self.handle.registerTimer(now + self.timeout_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        pieces = Pieces(self.run, self.wait, bytes(held[0]).decode("latin-1") if held else "")
+        tail, base, newest = self.held()
+        pieces = Pieces(lambda text: self.full(text)[0], self.wait, tail)
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        out = []
+        out, ended = [], False
         for seq, text, last in zip(batch["seq"], batch["text"], batch["last"], strict=True):
-            # a piece may end inside a character: only whole texts are decoded
-            done = pieces.feed(to_bytes(text or ""), bool(last))
-            out.append((key[0], seq, done.encode("latin-1").decode("utf-8", "replace"), bool(last)))
-            if last:
-                pieces.tail = ""
-        if pieces.tail:
-            self.state.update((pieces.tail.encode("latin-1"),))
-        elif self.state.exists():
+            ended, newest = bool(last), max(newest, int(seq))
+            head = pieces.take(to_bytes(text or ""), ended)
+            out.append(self.row(key, seq, head, base, ended))
+            base = 0 if ended else base + len(head)
+        if ended:
             self.state.clear()
-        yield pd.DataFrame(out, columns=["doc_id", "seq", "output", "last"])
+            self.timer(None)
+        else:
+            self.state.update((pieces.tail.encode("latin-1"), base, newest))
+            self.timer(timerValues.getCurrentProcessingTimeInMs() if self.timeout_ms is not None else None)
+        yield pd.DataFrame(out, columns=COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        tail, base, seq = self.held()
+        self.state.clear()
+        yield pd.DataFrame([self.row(key, seq, tail, base, True)], columns=COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def redact_stream(pieces: DataFrame, options: Options, mode: str = "append") -> DataFrame:
-    """(doc_id, seq, output, last) of a stream of pieces (doc_id string, seq, text, last)."""
-    return pieces.groupBy("doc_id").transformWithStateInPandas(_Redactor(options), "doc_id string, seq long, output string, last boolean", mode, "None")
+COLUMNS = ["doc_id", "seq", "output", "last", "events"]
+_OUTPUT = f"doc_id string, seq long, output string, last boolean, events array<struct<{EVENT}>>"
+
+
+def _stream(pieces: DataFrame, processor: StatefulProcessor, mode: str) -> DataFrame:
+    time = "None" if processor.timeout_ms is None else "ProcessingTime"
+    return pieces.groupBy("doc_id").transformWithStateInPandas(processor, _OUTPUT, mode, time)
+
+
+def redact_stream(pieces: DataFrame, options: Options, mode: str = "append", timeout_ms: int | None = None) -> DataFrame:
+    """(doc_id, seq, output, last, events) of a stream of pieces (doc_id string, seq, text, last).
+
+    ``events`` are the audit events of the row's output; a stage's places are bytes of what
+    the stage before wrote for this row's input, moved by where that input starts.  A text
+    whose next piece does not come within ``timeout_ms`` is ended: its tail is given out
+    under the last piece's number with ``last`` true and its state is freed; pieces that
+    come later start a new text.
+    """
+    return _stream(pieces, _Redactor(options, timeout_ms), mode)
 
 
 class _Unmasker(_Redactor):
-    def __init__(self, known: list[str], groups: list[int] | None):
-        self.known, self.groups = known, groups
+    def __init__(self, known: list[str], groups: list[int] | None, timeout_ms: int | None = None):
+        self.known, self.groups, self.timeout_ms = known, groups, timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("tail", "tail binary")
+        self.open(handle)
         dictionary = names.reverse([to_bytes(n) for n in self.known], self.groups, True)
-        self.run, self.wait = dictionary.replace, dictionary.longest + 1
+        self.full, self.wait = lambda text: (dictionary.replace(text), []), dictionary.longest + 1
 
 
-def unmask_stream(pieces: DataFrame, known: list[str], groups: list[int] | None = None) -> DataFrame:
-    """Aliases back to names over a stream of pieces."""
-    return pieces.groupBy("doc_id").transformWithStateInPandas(_Unmasker(known, groups), "doc_id string, seq long, output string, last boolean", "append", "None")
+def unmask_stream(pieces: DataFrame, known: list[str], groups: list[int] | None = None, timeout_ms: int | None = None) -> DataFrame:
+    """Aliases back to names over a stream of pieces; columns as of ``redact_stream``, without events."""
+    return _stream(pieces, _Unmasker(known, groups, timeout_ms), "append").drop("events")

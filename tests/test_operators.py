@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions.scanner import Flags
-from inkveil.operators import cache, guardrails, jsonrules, policy, vault
+from inkveil.operators import cache, entityset, guardrails, jsonrules, policy, vault
 from inkveil.operators.jsonrules import InvalidJson, walk
 from inkveil.plans import accuracy, profiles, redaction, registry
 from inkveil.plans.redaction import Options
@@ -285,3 +285,11 @@ def test_accuracy(spark, tmp_path):
     assert why == {("ip", "z"): "expected exact output [IPV4_REDACTED]", ("ip", "n"): "case has no expectation"}
     summary = accuracy.report(cases).select("suite", "passed")
     assert "| ssn | True |" in io.report_markdown(summary) and json.loads(io.report_json(summary))["suites"]
+
+
+def test_names_in_text_by_key(spark):
+    names = spark.createDataFrame([(0, "Ann Lee"), (1, "Bo"), (2, "Zoé"), (3, "...")], "position int, name string")
+    docs = [(1, "ann lee met Bo"), (1, "Bo, Bo"), (None, "Zoé"), (None, "Annlee zoés"), (2, None), (3, "")]
+    with_names = entityset.in_text(spark.createDataFrame(docs, "id long, text string"), "text", entityset.snapshot(names, 1), "id")
+    got = sorted((r.text, r.name, r.alias, r.id) for r in with_names.collect())
+    assert got == [("Bo, Bo", "Bo", "Entity_2", 1), ("Zoé", "Zoé", "Entity_3", None), ("ann lee met Bo", "Ann Lee", "Entity_1", 1), ("ann lee met Bo", "Bo", "Entity_2", 1)]

@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -6,6 +8,8 @@ from inkveil.functions.scanner import Flags
 from inkveil.plans.redaction import Options, stages
 from inkveil.streaming import chunks, jobs
 
+ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def test_pieces_equal_whole():
     rng = random.Random(1)
@@ -50,10 +54,43 @@ def test_redact_stream(spark, tmp_path):
         stream = read_stream(spark, tmp_path, batches, "doc_id string, seq long, text string, last boolean")
         rows = finish(chunks.redact_stream(stream, Options(names=("Jane Smith",))), "redacted", tmp_path).orderBy("seq").collect()
         assert "".join(r.output for r in rows) == text.replace("Jane Smith", "Entity_1").replace("123-45-6789", "***-**-****")
+        found = [(e.stage, e.offset) for r in rows for e in r.events]
+        names = [m.start() for m in re.finditer(b"Jane Smith", text.encode())]
+        assert sorted(at for stage, at in found if stage == "entity_mask") == names
+        assert sum(stage == "ssn" for stage, _ in found) == 8
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_redact_stream_times_out(spark, tmp_path):
+    spark.conf.set(*ROCKS)
+    stream = read_stream(spark, tmp_path, [[("open", 3, "see 123-45-6789", False), ("done", 1, "a", True)]], "doc_id string, seq long, text string, last boolean")
+    out = chunks.redact_stream(stream, Options(), timeout_ms=1)
+    query = out.writeStream.format("memory").queryName("timed").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="100 milliseconds").start()
+    try:
+        rows, until = [], time.time() + 90
+        while time.time() < until and not any(r.doc_id == "open" and r.last for r in rows):
+            time.sleep(0.5)
+            assert query.exception() is None
+            rows = spark.table("timed").collect()
+        assert sorted((r.doc_id, r.seq, r.last) for r in rows) == [("done", 1, True), ("open", 3, False), ("open", 3, True)]
+        assert "".join(r.output for r in sorted(rows, key=lambda r: r.last) if r.doc_id == "open") == "see ***-**-****"
+    finally:
+        query.stop()
+        spark.conf.unset(ROCKS[0])
+
+
+def test_pieces_run_few_times():
+    calls = []
+
+    def run(text):
+        calls.append(len(text))
+        return text.replace("a b", "x")  # each blank lies within a match
+
+    pieces = chunks.Pieces(run, 0)
+    assert pieces.feed("a b" * 20_000) == "" and len(calls) < 60
+
+
 def test_audit_windows(spark, tmp_path):
     rows = [("2024-01-01 00:01:00", "ssn", "s", "a"), ("2024-01-01 00:02:00", "ssn", "s", "a"), ("2024-01-01 00:07:00", "context", "c", "a"), ("2024-01-01 03:00:00", "ssn", "s", "b")]
     schema = "ts string, stage string, match_type string, session_id string"
@@ -71,9 +108,6 @@ def test_watch_names(spark, tmp_path):
     assert seen == [(0, ["Ann", "Bo"])]
 
 
-ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def test_unmask_stream(spark, tmp_path):
     spark.conf.set(*ROCKS)
     try:

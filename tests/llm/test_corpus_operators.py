@@ -362,6 +362,25 @@ def test_flac_lpc_stereo_escape_and_wasted_bits():
     assert flac.pcm(s) == pcm and flac.pcm(s, 3, 5) == pcm[12:20]
 
 
+def test_flac_samples_that_look_like_a_header():
+    next_header = bytes([0xFF, 0xF8, 0x61, 0x02, 0x01, 15])  # 16 samples, one channel, 8 bits, frame 1
+    crc = flac.crc_ranges(np.frombuffer(next_header, np.uint8), np.array([0]), np.array([6]), 8)[0]
+    held = next_header + bytes([int(crc)])
+    samples = np.frombuffer(b"\x05\x06" + held + bytes(range(16 - 2 - len(held))), np.int8)
+    w = Writer()
+    w.put(0b0_000001_0, 8)  # verbatim
+    for x in samples:
+        w.put(int(x) & 255, 8)
+    head = bytes([0xFF, 0xF8, 0x61, 0x02, 0x00, 15])
+    raw = stream_of(w.bytes(), head, 8, 1, 16, hashlib.md5(samples.tobytes()).digest())
+    assert len(flac._frames(raw, raw.index(head), 8)[0]) == 2  # the look-alike splits the frame
+    bad = bytearray(raw)
+    bad[-3] ^= 1
+    s, damaged = flac.decode([raw, bytes(bad)])
+    assert s.ok and s.samples[0].tolist() == samples.tolist()
+    assert damaged.error == "frame checksum"
+
+
 def test_flac_blocks(spark):
     raw = payloads()[3]
     media = spark.createDataFrame([(1, flac.encode([raw])[0]), (2, b"bad"), (3, None)], "doc_id long, media binary")
@@ -370,6 +389,9 @@ def test_flac_blocks(spark):
     assert [r.sample_offset for r in one] == list(range(0, len(raw), 576))
     assert b"".join(bytes(r.pcm) for r in one) == (np.frombuffer(raw, np.uint8) ^ 0x80).tobytes()
     assert [(r.key, r.block, r.ok) for r in rows[len(one) :]] == [("2", None, False), ("3", None, False)]
+    texts = spark.createDataFrame([(1, "héllo " * 300), (2, None)], "doc_id long, text string")
+    digests = {r.doc_id: r.media_sha256 for r in flac.store(texts).collect()}
+    assert {r.doc_id: hashlib.sha256(r.media).hexdigest() for r in flac.streams(texts).collect()} == digests
 
 
 def test_flac_rows(spark):

@@ -170,6 +170,9 @@ def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
 
 
 def judge(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
-    """The contract's columns: the base measurements, base_failed, and kept by the policy."""
+    """The contract's columns: the base measurements, base_failed, and kept by the policy.
+
+    ``failed_bits`` is the ledger's entry, ``policy`` tells which policy and version judged.
+    """
     base = ~passes(BASE)
-    return ledger(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(policy)).alias("kept"), "failed_bits")
+    return ledger(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(policy)).alias("kept"), "failed_bits", F.lit(f"{policy.name}/{policy.version}").alias("policy"))

@@ -92,6 +92,21 @@ def base_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_flac(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
 
 
+def media_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The PCM blocks of op10's streams, with the samples at which they start."""
+    rows = flac.blocks(flac.streams(read(spark, sf_dir, "documents")))
+    return rows.select(F.col("key").cast("long").alias("doc_id"), F.col("block").cast("long").alias("block"), "sample_offset", F.octet_length("pcm").cast("long").alias("pcm_bytes"), "ok")
+
+
+#: Rules whose measurements SQL can express.
+PLAIN = quality.Policy("plain", 1, ("few_words", "symbols", "dup_lines", "short_words", "long_words"))
+
+
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of a policy rejects, rejects alone, and what stays without it."""
+    return quality.ablations(quality.ledger(read(spark, sf_dir, "documents")), PLAIN)
+
+
 _TEXT = "coalesce(text, '')"
 _WORDS = f"regexp_extract_all({_TEXT}, '[^\\x20\\x09-\\x0D]+')"
 _LINES = f"list_filter(string_split({_TEXT}, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))"
@@ -111,6 +126,18 @@ BASE_SQL = {
             cast(length(regexp_replace({_TEXT}, '[^#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
             cast(len({_LINES}) - len(list_distinct({_LINES})) AS bigint) AS n_dup_lines
         FROM documents""",
+    "quality_ablations": f"""
+        SELECT rule, cast(coalesce(sum(cast(failed & bit <> 0 AS int)), 0) AS bigint) AS rejected,
+            cast(coalesce(sum(cast(failed = bit AS int)), 0) AS bigint) AS rejected_alone,
+            cast(coalesce(sum(cast(failed & ~bit = 0 AS int)), 0) AS bigint) AS kept_without
+        FROM (VALUES ('few_words', 1), ('symbols', 2), ('dup_lines', 4), ('short_words', 8), ('long_words', 16)) AS r(rule, bit)
+        LEFT JOIN (SELECT (n < 50)::int + 2 * (10 * s > n)::int + 4 * (10 * d > 4 * greatest(l, 1))::int + 8 * (10 * c < 25 * n)::int + 16 * (c > 12 * n)::int AS failed
+            FROM (SELECT len({_WORDS}) AS n, length(regexp_replace({_TEXT}, '[^#*$%&|<>]', '', 'g')) AS s, len({_LINES}) AS l,
+                len({_LINES}) - len(list_distinct({_LINES})) AS d, length(regexp_replace({_TEXT}, '[\\x20\\x09-\\x0D]', '', 'g')) AS c FROM documents)) ON true
+        GROUP BY rule""",
+    "media_blocks": f"""
+        SELECT doc_id, block, block * 576 AS sample_offset, cast(576 AS bigint) AS pcm_bytes, true AS ok
+        FROM (SELECT doc_id, unnest(range(cast(greatest(1, (strlen({_TEXT}) + 575) // 576) AS bigint))) AS block FROM documents)""",
     "base_licenses": f"""
         SELECT doc_id, n_words, cast(len(regexp_extract_all(p, '{"|".join(_PHRASES.values())}')) AS bigint) AS n_base,
             array_to_string(list_filter([{", ".join(f"CASE WHEN contains(p, '{words}') THEN '{label}' END" for label, words in _PHRASES.items())}], lambda x: x IS NOT NULL), ',') AS base_labels
@@ -125,7 +152,7 @@ BASE_SQL = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html, op2_langid, op3_secrets, op4_mix, op5_quality, op6_bpe, op7_licenses, op8_dartminhash, op9_kdshard, op10_flac, pipeline, base_secrets, base_quality, base_licenses, base_mix, base_shards, base_media)}
+    return {f.__name__: f for f in (op1_html, op2_langid, op3_secrets, op4_mix, op5_quality, op6_bpe, op7_licenses, op8_dartminhash, op9_kdshard, op10_flac, pipeline, base_secrets, base_quality, base_licenses, base_mix, base_shards, base_media, quality_ablations, media_blocks)}
 
 
 def oracle_sql() -> dict[str, str]:

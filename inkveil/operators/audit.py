@@ -92,10 +92,26 @@ def latest(events: DataFrame, n: int = 50, seq: str = "seq", event_type: str | N
 
 
 def numbered(events: DataFrame, session: str, order: list[str]) -> DataFrame:
-    """``seq`` within each session, from 1.  A global sequence would need one task for all rows."""
+    """``seq`` within each session, from 1; ``numbered_all`` numbers across sessions."""
     return events.withColumn("seq", F.row_number().over(W.partitionBy(session).orderBy(*order)).cast("long"))
 
 
+def numbered_all(events: DataFrame, bucket: Column, order: list[str]) -> DataFrame:
+    """``seq`` over all events, from 1, in the order of ``order``.
+
+    ``bucket`` rises with that order (such as the hour of a time that comes first in it).
+    Rows are numbered within their buckets, in parallel, and moved by what lies before; only
+    the counts of buckets, one a bucket, are summed in one task.  Ties of ``order`` and
+    ``bucket`` are numbered in any order; rows without a bucket come first.
+    """
+    rows = events.withColumn("_bucket", bucket)
+    sums = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = sums.select(F.col("_bucket").alias("_b"), (F.sum("_n").over(W.orderBy(F.asc_nulls_first("_bucket"))) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_bucket").orderBy(*[F.asc_nulls_first(c) for c in order]))
+    joined = rows.withColumn("_place", place).join(before, F.col("_bucket").eqNullSafe(F.col("_b")))
+    return joined.withColumn("seq", (F.col("_before") + F.col("_place")).cast("long")).drop("_bucket", "_b", "_before", "_place")
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """part / whole; 1 where whole is 0."""
     return F.when(whole == 0, 1.0).otherwise(part / whole)

@@ -34,6 +34,21 @@ def unhash(df: DataFrame, token: str, vault: DataFrame, into: str = "original")
     return df.join(known, F.col(token) == F.col("_token"), "left").drop("_token")
 
 
+def unhash_rotated(df: DataFrame, token: str, vault: DataFrame, keys: DataFrame, into: str = "original") -> DataFrame:
+    """The original of each token, with the ``role`` of the key that made it.
+
+    The vault has the ``version`` of each token's key.  Only the current and the previous of
+    the rotated keys (version, key_hex) resolve; where both made a token, the current counts.
+    Tokens of older keys, unknown ones and null have a null original and role.
+    """
+    roles = key_in_use(keys).select("version", "role")
+    valid = vault.join(F.broadcast(roles), "version")  # two rows
+    newest = F.max_by(F.struct("original", "role"), F.struct("version", "original")).alias("_newest")
+    known = valid.groupBy(F.col("token").alias("_token")).agg(newest)
+    joined = df.join(known, F.col(token) == F.col("_token"), "left")
+    return joined.withColumn(into, F.col("_newest.original")).withColumn("role", F.col("_newest.role")).drop("_token", "_newest")
+
+
 def unhash_text(df: DataFrame, key: str, column: str, vault: DataFrame, into: str = "output") -> DataFrame:
     """Texts with every known token replaced, unknown ones kept; originals aren't escaped.
 
@@ -61,6 +76,20 @@ def decrypt(secret: Column | str, key: Column) -> Column:
     return F.aes_decrypt(F.col(secret) if isinstance(secret, str) else secret, key, F.lit("GCM")).cast("string")
 
 
+def record(token: Column | str, original: Column | str, key: Column) -> Column:
+    """One entry of a vault file: length (32 bits, little-endian), nonce, tag, sealed JSON."""
+    as_column = lambda c: F.col(c) if isinstance(c, str) else c
+    sealed = encrypt(F.to_json(F.struct(as_column(token).alias("t"), as_column(original).alias("o"))), key)
+
+    def framed(s: Column) -> Column:
+        n = F.octet_length(s)
+        digits = F.lpad(F.hex(n), 8, "0")
+        length = F.unhex(F.concat(*[F.substring(digits, at, 2) for at in (7, 5, 3, 1)]))
+        return F.concat(length, F.substring(s, 1, 12), F.substring(s, n - 15, F.lit(16)), F.substring(s, F.lit(13), n - 28))
+
+    return F.transform(F.array(sealed), framed)[0]  # sealed once: each sealing draws a nonce
+
+
 def retain(vault: DataFrame, order: str, most: int = 100_000) -> DataFrame:
     """The newest entries of a vault, at most ``most``."""
     return vault.orderBy(F.desc(order)).limit(most)

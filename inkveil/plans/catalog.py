@@ -16,7 +16,7 @@ from ..functions.arrow import spread
 from ..functions.register import FindPii, redact_context, redactor
 from ..functions.scanner import Flags
 from ..operators import audit, cache, entityset, guardrails, jsonrules, policy, vault
-from ..sources import rules
+from ..sources import io, rules
 from . import profiles, redaction
 from .redaction import Options
 
@@ -463,6 +463,19 @@ add("audit_dropped", lambda s, d: audit.dropped(audit_events(s, d), most=20), f"
 add("audit_latest", lambda s, d: audit.latest(audit_events(s, d), 25, event_type="click", session_prefix="1").select("seq", "session_id"), f"SELECT seq, session_id FROM (SELECT * FROM ({_EVENTS}) ORDER BY seq DESC LIMIT 1000) WHERE match_type = 'click' AND session_id LIKE '1%' ORDER BY seq DESC LIMIT 25")
 add("audit_numbered", lambda s, d: audit.numbered(audit_events(s, d).drop("seq"), "session_id", ["ts", "stage", "original_length"]).groupBy("session_id").agg(F.max("seq").alias("last")), f"SELECT session_id, count(*) AS last FROM ({_EVENTS}) GROUP BY session_id")
 
+add(
+    "audit_numbered_all",
+    lambda s, d: audit.numbered_all(read(s, d, "events").select("event_id", "ts"), F.date_trunc("day", "ts"), ["ts", "event_id"]).select("event_id", "seq"),
+    "SELECT event_id, row_number() OVER (ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS seq FROM events",
+)
+_REQUESTS = "event_type AS route, 200 + event_id % 3 * 100 AS status, event_id * 37 % 6000000 AS us, event_id % 5000 AS bytes"
+add(
+    "request_metrics",
+    lambda s, d: io.request_metrics(read(s, d, "events").selectExpr(*_REQUESTS.split(", "))).where("line_no = 1 AND metric <> 'redaction_request_duration_seconds'").select("line"),
+    f"""SELECT concat('redaction_requests_total{{route="', route, '",status="', cast(status as string), '"}} ', cast(count(*) as string)) AS line FROM (SELECT {_REQUESTS} FROM events) GROUP BY route, status
+      UNION ALL SELECT concat('redaction_bytes_total{{route="', route, '"}} ', cast(sum(bytes) as string)) FROM (SELECT {_REQUESTS} FROM events) GROUP BY route""",
+)
+
 
 def _confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n")), "doc_id")
@@ -503,6 +516,15 @@ def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.redact(rows, "t", options).select("c_custkey", F.col("redaction.output").alias("output"), F.size("redaction.events").cast("long").alias("n"))
 
 
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.expr("concat(repeat('é ', cast(c_custkey % 4 as int)), 'Ann Lee, Anna Lee and ann lee')").alias("t"))
+    found = redaction.entity_spans(rows, "t", ["Bo", "Ann Lee"], most=1)
+    return found.select("c_custkey", F.element_at("spans.spans", 1)["start"].alias("start"), F.element_at("spans.spans", 1)["end"].alias("end"), F.element_at("spans.spans", 1)["alias"].alias("alias"), "spans.n")
+
+
+add("entity_spans", _spans, "SELECT c_custkey, cast(c_custkey % 4 * 3 as bigint) AS start, cast(c_custkey % 4 * 3 + 7 as bigint) AS \"end\", 'Entity_2' AS alias, cast(2 as bigint) AS n FROM customer")
 add("redaction_pipeline", _pipeline, "SELECT c_custkey, 'Entity_1 (SSN ***-**-****) wrote from [EMAIL_REDACTED]; Entity_1 at 10.0.0.7.' AS output, cast(4 as bigint) AS n FROM customer")
 add("profile_llm_basic", lambda s, d: redaction.events(redaction.redact(read(s, d, "documents").select("doc_id", "text"), "text", profiles.profile("llm-basic")), ["doc_id"]).groupBy("stage", "match_type").agg(F.count(F.lit(1)).alias("n")))
 add(
@@ -598,7 +620,17 @@ def _greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("o_orderkey", F.size("g").cast("long").alias("n"), F.element_at("g", -1)["end"].cast("long").alias("last"), F.size(spans.gaps("g", F.lit(60))).cast("long").alias("gaps"))
 
 
-add("greedy_spans", _greedy)
+
+
+def _greedy_sql() -> str:
+    """The six spans of ``_greedy``, taken one after the other."""
+    at = "SELECT o_orderkey, cast(0 as bigint) AS n, cast(0 as bigint) AS last, cast(0 as bigint) AS gaps FROM orders"
+    for i in range(6):
+        at = f"SELECT o_orderkey, n + (last <= {5 * i})::bigint AS n, CASE WHEN last <= {5 * i} THEN {5 * i + 3} + (o_orderkey + {i}) % 9 ELSE last END AS last, gaps + (last < {5 * i})::bigint AS gaps FROM ({at})"
+    return f"SELECT o_orderkey, n, cast(last as bigint) AS last, gaps + (last < 60)::bigint AS gaps FROM ({at})"
+
+
+add("greedy_spans", _greedy, _greedy_sql())
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:

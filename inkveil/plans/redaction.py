@@ -173,6 +173,26 @@ def mask(df: DataFrame, column: str, entity_names: list[str], groups: list[int]
     return arrow.with_column(df, column, into, "string", build)
 
 
+def entity_spans(df: DataFrame, column: str, entity_names: list[str], groups: list[int] | None = None, into: str = "spans", most: int | None = None) -> DataFrame:
+    """A column of the names found, in order: array<struct<start, end, alias>> in bytes of the text.
+
+    With ``most``, a struct of the first ``most`` spans and ``n``, the number of all.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(([to_bytes(n) for n in entity_names], groups))
+
+    def build():
+        dictionary = names.forward(*shared.value)
+
+        def work(text: str):
+            found = [{"start": s.start, "end": s.end, "alias": dictionary.replacements[s.index]} for s in dictionary.find(to_bytes(text))]
+            return found if most is None else {"spans": found[:most], "n": len(found)}
+
+        return work
+
+    spans = "array<struct<start: bigint, end: bigint, alias: string>>"
+    return arrow.with_column(df, column, into, spans if most is None else f"struct<spans: {spans}, n: bigint>", build)
+
+
 #: Names up to which an alternation in the JVM is used.
 NATIVE_NAMES = 500
 
